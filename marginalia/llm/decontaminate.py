@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches
+from .shingles import Words, grams, hashed
 
 #: Lower-cases A-Z and turns every ASCII byte but letters and digits into a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -24,35 +24,8 @@ NEW = {"n_words": T.LongType(), "hit_spans": T.ArrayType(T.StructType([T.StructF
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-class Words(dict):
-    """64-bit hashes of words, kept while they fit."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def word_hashes(text: str | None, known: Words) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(33))
-
-
-def grams(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k words."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return words[:0]
-    h = words[:n].copy()
-    for i in range(1, k):
-        h = mixed(h) + words[i : n + i]
-    return mixed(h)
+    return hashed((text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split(), known)
 
 
 def winnow(h: np.ndarray, w: int) -> np.ndarray:
