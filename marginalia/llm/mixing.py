@@ -49,7 +49,8 @@ def weighted_fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Each source is a queue. Its documents, shuffled by a digest of id and seed, repeat up to max_repeats times; a document's
     virtual finish time is the source's words up to it divided by the source's target, so every source reaches time 1 with its
     target served. All entries are range-sorted by that time and the order is cut where the total budget is used up. Documents
-    stay whole: both the order and the cut count a document at its middle, which rounds to the nearest document.
+    stay whole: both the order and the cut count a document at its middle, which rounds to the nearest document; at last each source
+    adds or gives back the one document that brings what it takes nearest to its target.
 
     Nothing is gathered: the running sum in a source runs within digest ranges of about ROWS_PER_BUCKET documents plus the sums of
     the ranges before; the cut comes from a histogram of fixed size over virtual time, and only its one crossing bucket is sorted.
@@ -66,7 +67,7 @@ def weighted_fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("skey", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("skey", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    docs = written(docs.join(sums, ["skey", "bucket"]).withColumn("served", F.col("offset") + F.sum("size").over(within)).drop("offset", "bucket"), "mix-served")
+    docs = written(docs.join(sums, ["skey", "bucket"]).withColumn("served", F.col("offset") + F.sum("size").over(within)).drop("offset", "bucket").withColumn("row", F.monotonically_increasing_id()), "mix-served")
 
     rounds = F.sequence(F.lit(0), F.lit(max_repeats - 1))
     middle = lambda e: (e * F.col("source_size") + F.col("served") - F.col("size") / 2.0) / F.col("target")
@@ -87,6 +88,13 @@ def weighted_fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         up = lambda e: early(e) if cut is None else early(e) | (F.struct(middle(e), F.col("h"), e) <= F.struct(F.lit(cut["at"]), F.lit(cut["h"]), F.lit(cut["e"])))
         taken = [F.when(up(F.lit(e)), 1).otherwise(0) for e in range(max_repeats)]
         copies = F.when((F.col("target") > 0) & (F.col("size") > 0), sum(taken[1:], taken[0])).otherwise(0)
+    # whole documents miss a target by half of the last one: each source takes one more, or one less, if that brings it nearer
+    docs = docs.withColumn("copies", copies)
+    sums = docs.groupBy("skey").agg((F.min("target") - F.sum(F.col("size") * F.col("copies"))).alias("short"))
+    fit = F.when(F.col("short") > 0, F.col("copies") < max_repeats).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (F.abs(F.abs("short") - F.col("size")) < F.abs("short"))
+    best = docs.join(sums, "skey").where(fit).groupBy("skey").agg(F.min(F.struct(F.abs(F.abs("short") - F.col("size")).alias("off"), "h", "row")).alias("x"), F.min(F.signum("short")).alias("change"))
+    docs = docs.join(best.select(F.col("skey"), F.col("x.row").alias("fix"), "change"), "skey", "left")
+    copies = F.col("copies") + F.when(F.col("row") == F.col("fix"), F.col("change")).otherwise(0)
     # documents without words cost nothing: they stay once where their source is served at all
     copies = F.when((F.col("size") == 0) & (F.col("target") > 0), 1).otherwise(copies)
     kept = [F.col("rest")[c].alias(c) for c in keep if c != id_col]
