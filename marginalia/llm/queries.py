@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, mixing, quality, sharding, topk, warc
+from . import decontaminate, jaccard, licenses, lines, mixing, quality, sharding, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.summary(lines.later_lines(table(spark, sf_dir, "documents")))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id"), SHARDS, size=SLOTS)
 
@@ -50,5 +54,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_warc, op3_topk, op4_mixing, op5_jaccard, op7_sharding, op8_decontaminate, op9_quality, op10_licenses)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_warc, op3_topk, op4_mixing, op5_jaccard, op6_lines, op7_sharding, op8_decontaminate, op9_quality, op10_licenses)}
 ORACLES: dict[str, str] = {}
