@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, lines, mixing, quality, sharding, topk, warc
+from . import decontaminate, jaccard, licenses, lines, mixing, quality, secrets, sharding, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,11 @@ SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
 SLOTS = 8191
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("record_id")
 
@@ -54,5 +59,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_warc, op3_topk, op4_mixing, op5_jaccard, op6_lines, op7_sharding, op8_decontaminate, op9_quality, op10_licenses)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secrets, op2_warc, op3_topk, op4_mixing, op5_jaccard, op6_lines, op7_sharding, op8_decontaminate, op9_quality, op10_licenses)}
 ORACLES: dict[str, str] = {}
