@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import compare_queries, relational_queries, search_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_ALL = (text_queries.REG, relational_queries.REG, search_queries.REG, compare_queries.REG)
+QUERIES = {name: query for reg in _ALL for name, query in reg.queries.items()}
+ORACLES = {name: sql for reg in _ALL for name, sql in reg.oracles.items()}
