@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir
+from .common import bounded_batches, shared_dir, written
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -23,7 +23,7 @@ CRLF = "\r\n"
 SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 32 << 10, 8 << 10, 20_000
 
 RECORD = "record_id string, record_type string, page_id long, refers_to_id string, digest string, payload_length long, segment int, origin_id string, total_length long, block binary"
-PAGE = "record_id string, page_id long, record_type string, refers_to_id string, payload_bytes long, payload_digest string"
+PAGE = "record_id string, page_id long, record_type string, refers_to_id string, refers_to long, payload_bytes long, payload_digest string"
 
 
 def sha1_base32(data: Column) -> Column:
@@ -175,13 +175,14 @@ def _reassemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(block) != parts[-1]["total_length"]:
                 raise ValueError(f"the segments of {first['record_id']} don't have their total length")
             _check(payload := http_payload(block), first["digest"], first["payload_length"])
-            rows.append((first["record_id"], first["page_id"], first["record_type"], None, len(payload), first["digest"]))
+            rows.append((first["record_id"], first["page_id"], first["record_type"], None, None, len(payload), first["digest"]))
         out = pd.DataFrame(rows, columns=[x.split()[0] for x in PAGE.split(", ")])
-        yield out.astype({"page_id": "Int64", "payload_bytes": "Int64"})
+        yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per response or revisit: record_id, page_id, record_type, refers_to_id, payload_bytes, payload_digest.
+    """One row per response or revisit: record_id, page_id, record_type, refers_to_id, refers_to (the response's page_id),
+    payload_bytes, payload_digest.
 
     Records that aren't segmented are decoded and verified where their file is read. Segments are grouped by their origin's id,
     which spreads evenly, as an origin has no more segments than its one payload needs; ordered by number, checked for gaps and the
@@ -189,17 +190,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     is missing or states another digest. Bad framing, a missing segment, a wrong length or digest raise an error."""
     bounded_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
-    rows = files.mapInPandas(_read, RECORD)
+    rows = written(files.mapInPandas(_read, RECORD), "warc-records")  # the archives are parsed once
     whole = rows.where("segment is null")
-    plain = whole.where("record_type = 'response'").select("record_id", "page_id", "record_type", F.lit(None).cast("string").alias("refers_to_id"), F.col("payload_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
+    plain = whole.where("record_type = 'response'").select("record_id", "page_id", "record_type", F.lit(None).cast("string").alias("refers_to_id"), F.lit(None).cast("long").alias("refers_to"), F.col("payload_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"))
     parts = F.array_sort(F.collect_list(F.struct("segment", "record_id", "page_id", "record_type", "digest", "payload_length", "total_length", "block")))
     joined = rows.where("segment is not null").groupBy("origin_id").agg(parts.alias("parts")).select("parts").mapInPandas(_reassemble, PAGE)
     responses = plain.unionByName(joined)
     revisits = whole.where("record_type = 'revisit'").alias("v")
-    of = responses.select(F.col("record_id").alias("of_id"), F.col("payload_bytes").alias("of_bytes"), F.col("payload_digest").alias("of_digest"))
+    of = responses.select(F.col("record_id").alias("of_id"), F.col("page_id").alias("of_page"), F.col("payload_bytes").alias("of_bytes"), F.col("payload_digest").alias("of_digest"))
     found = revisits.join(of, F.col("refers_to_id") == F.col("of_id"), "left")
     good = F.when(F.col("of_digest") == F.col("digest"), F.col("of_bytes")).otherwise(F.raise_error(F.concat(F.lit("no response for the revisit "), F.col("record_id"))).cast("long"))
-    return responses.unionByName(found.select("record_id", "page_id", "record_type", "refers_to_id", good.alias("payload_bytes"), F.col("of_digest").alias("payload_digest")))
+    return responses.unionByName(found.select("record_id", "page_id", "record_type", "refers_to_id", F.col("of_page").alias("refers_to"), good.alias("payload_bytes"), F.col("of_digest").alias("payload_digest")))
 
 
 def archive_round_trip(pages: DataFrame, *, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -212,7 +213,4 @@ def archive_round_trip(pages: DataFrame, *, min_bytes: int = 0, segment_bytes: i
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
     write_archives(pages.select("page_id", "url", F.encode(F.col("html"), "UTF-8").alias("payload")), path, min_bytes=min_bytes, segment_bytes=segment_bytes, chunk_bytes=chunk_bytes)
-    back = read_archives(spark, path)
-    own = back.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    used = back.where("record_type = 'revisit'").select("refers_to_id").distinct()
-    return back.join(own.join(used, "refers_to_id"), "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
