@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, lines, mixing, quality, secrets, sharding, topk, warc
+from . import decontaminate, jaccard, licenses, lines, mixing, oracles, quality, secrets, sharding, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,4 +60,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secrets, op2_warc, op3_topk, op4_mixing, op5_jaccard, op6_lines, op7_sharding, op8_decontaminate, op9_quality, op10_licenses)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": oracles.WARC,
+    "op3_topk": oracles.TOP_K,
+    "op5_jaccard": oracles.JACCARD,
+    "op7_sharding": oracles.sharding(SHARDS, SLOTS),
+    "op8_decontaminate": oracles.DECONTAMINATION,
+    "op10_licenses": oracles.LICENSES,
+}
