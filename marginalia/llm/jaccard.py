@@ -7,20 +7,32 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, written
-from .shingles import U, Words, shingle_set
+from .common import bounded_batches, release, written
+from .shingles import U, shingle_set, shingle_sets
 
 #: Words in a shingle; the least similarity in percent.
 K, PERCENT = 4, 85
-#: Groups that shingles are hashed into; points in a leaf of the tree; rows of a cell that one tree holds, about.
-GROUPS, LEAF, CELL_ROWS = 32, 32, 2048
+#: Groups that shingles are hashed into; points in a leaf of the tree; rows of a cell that one tree holds, about; leaders in a cell; pairs of
+#: a point that go on from a cell at first.
+GROUPS, LEAF, CELL_ROWS, LEADERS, AT_ONCE = 256, 32, 2048, 64, 2
+MANY = 255
+#: A key of more documents is frequent; so many frequent keys are told apart at most.
+FREQUENT, HOT_KEYS = 200, 100_000
+#: Pairs of a point that go on in each round after the first; None: all that are left.
+ROUNDS = (4, 32, None)
+#: Pairs that are broadcast to the texts, at most: three numbers each, some 20 MB.
+FEW_PAIRS = 500_000
+#: Links that one task unites, at most: some 100 MB.
+ONE_TASK = 1_000_000
 
 SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("vec", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+PAIR = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
+PAIR_AT = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "doc_a", "doc_b")])
 
 
 def least_overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -38,23 +50,49 @@ def class_of(own: np.ndarray) -> int:
 
 
 def count_vector(own: np.ndarray) -> np.ndarray:
-    """How many members fall into each group."""
-    return np.bincount((own >> U(17)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32)
+    """How many members fall into each group; the largest number stands for itself and all above it."""
+    return np.minimum(np.bincount((own >> U(17)).astype(np.int64) % GROUPS, minlength=GROUPS), MANY).astype(np.uint8)
 
 
-def _describe(k: int, percent: int) -> Callable:
+def prefix(own: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
+    """A set's keys: its first members in an order that is the same for all sets, frequent ones last, then by hash."""
+    if not len(own):
+        return own
+    frequent = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own if len(hot) else np.zeros(len(own), bool)
+    return np.concatenate([own[~frequent], own[frequent]])[: prefix_length(len(own), percent)]
+
+
+def _keys(k: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in batches:
-            n, cls, vec, keys = [], [], [], []
-            for text in batch.column("text"):
-                own = shingle_set(text.as_py(), k, known)
+            # twice the keys: those behind frequent ones move up
+            keys = [own[: 2 * prefix_length(len(own), percent)] for own in shingle_sets(batch.column("text").to_pylist(), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, U), *keys]).view(np.int64))], ["key"])
+
+    return run
+
+
+def hot_keys(docs: DataFrame, k: int, percent: int) -> np.ndarray:
+    """Shingles that are keys of more than FREQUENT documents, and so many that the list has HOT_KEYS at most. They go last in the order of
+    keys; any order gives the same result, but with frequent ones last a passage that many documents share makes few large cells."""
+    counts = docs.select("text").mapInArrow(_keys(k, percent), "key long").groupBy("key").count().where(F.col("count") > FREQUENT)
+    counts = written(counts, "jaccard-frequent")
+    top = counts.orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key").toArrow()  # a bounded list of numbers
+    release(docs.sparkSession)
+    return np.sort(top.column("key").to_numpy().view(U))
+
+
+def _describe(k: int, percent: int, hot: Broadcast) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, cls, vec, keys = [], [], [], [np.empty(0, np.int64)]
+            for own in shingle_sets(batch.column("text").to_pylist(), k):
                 n.append(len(own))
                 cls.append(class_of(own))
                 vec.append(count_vector(own).tobytes())
-                keys.append(own[: prefix_length(len(own), percent)].view(np.int64) if len(own) else np.empty(0, np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+                keys.append(prefix(own, hot.value, percent).view(np.int64))
+            ends = np.cumsum([len(x) for x in keys]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(vec, pa.binary()), lists], SETS.names)
 
     return run
@@ -97,14 +135,15 @@ class CountTree:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The cells of a partition that is sorted by cell: their columns, cls, comp, own (0 for a visitor), n, vec."""
+    """The cells of a partition that is sorted by cell: their columns, cls, doc_id, comp, own (0 for a guest), n, vec."""
     rest: pa.Table | None = None
 
     def cut(t: pa.Table, last: bool) -> Iterator[dict[str, np.ndarray] | pa.Table]:
         cell = t.column("cell").to_numpy()
         ends = np.flatnonzero(np.concatenate([cell[1:] != cell[:-1], [True]])) + 1
-        col = {c: t.column(c).to_numpy() for c in ("cls", "comp", "n", "own")}
-        vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+        col = {c: t.column(c).to_numpy() for c in ("cls", "comp", "n", "own", "doc_id")}
+        vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+        vec[vec == MANY] = 1 << 20
         start = 0
         for end in ends if last else ends[:-1]:
             if end - start > 1:
@@ -129,7 +168,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]
 
 
 def _emit(pairs: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes, smaller first, distinct within some tens of thousands."""
+    """Pairs of classes and their documents, the class that goes to more others first, distinct within some tens of thousands."""
     held, size = [], 0
     for p in pairs:
         held.append(p)
@@ -142,89 +181,139 @@ def _emit(pairs: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(held: list[np.ndarray]) -> pa.RecordBatch:
-    p = np.unique(np.sort(np.concatenate(held), 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+    p = np.unique(np.concatenate(held), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(p[:, k]) for k in range(4)], PAIR_AT.names)
+
+
+def similar_places(cell: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Of pairs of places in a cell, whether sizes and summed smaller counts let them be similar."""
+    n, vec = cell["n"], cell["vec"]
+    good = (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i])
+    at = np.flatnonzero(good)
+    for s in range(0, len(at), 4096):
+        x, y = i[at[s : s + 4096]], j[at[s : s + 4096]]
+        good[at[s : s + 4096]] = np.minimum(vec[x], vec[y]).sum(1) >= least_overlap(n[x], n[y], percent)
+    return good
+
+
+def paired(cell: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.stack([cell["cls"][i], cell["cls"][j], cell["doc_id"][i], cell["doc_id"][j]], 1)
 
 
 def _stars(percent: int) -> Callable:
-    """In each cell, in an order that is the same in all cells: a point near a leader is paired with the leader that bounds highest,
-    any other becomes a leader."""
+    """In each cell, in an order that is the same in all cells, pairs of a point and points before it. A cell of up to LEADERS points is
+    gone through: each point goes with the first AT_ONCE points before it that may be similar, and a pair of it with itself says that
+    there are more. In a larger cell a point near a leader goes with the first such leader, and any other becomes a leader, up to
+    LEADERS; all else of it is left to the rounds that follow."""
 
     def pairs(cell: dict[str, np.ndarray]) -> np.ndarray:
-        n, vec, cls = cell["n"], cell["vec"], cell["cls"]
-        order = np.argsort((cls.view(U) * U(0x9E3779B97F4A7C15)), kind="stable")
-        lead: list[int] = [int(order[0])]
-        out = []
-        for i in order[1:]:
-            tree_n, tree_vec = n[lead], vec[lead]
-            bound = np.minimum(tree_vec, vec[i]).sum(1)
-            good = np.flatnonzero((bound >= least_overlap(n[i], tree_n, percent)) & (100 * tree_n >= percent * n[i]) & (100 * n[i] >= percent * tree_n))
+        order = np.argsort(cell["cls"].view(U) * U(0x9E3779B97F4A7C15), kind="stable")
+        m = len(order)
+        if m <= LEADERS:
+            j, i = np.tril_indices(m, -1)  # by later point
+            good = similar_places(cell, order[i], order[j], percent)
+            i, j = i[good], j[good]
+            rank = np.arange(len(j)) - np.searchsorted(j, j)
+            more = np.unique(j[rank >= AT_ONCE])
+            return paired(cell, order[np.concatenate([i[rank < AT_ONCE], more])], order[np.concatenate([j[rank < AT_ONCE], more])])
+        lead, out = np.array([order[0]]), []
+        for p in order[1:]:
+            good = np.flatnonzero(similar_places(cell, lead, np.full(len(lead), p), percent))
             if len(good):
-                out.append((cls[lead[good[0]]], cls[i]))
-            elif len(lead) < 64:
-                lead.append(int(i))
-        return np.array(out, np.int64).reshape(-1, 2)
+                out.append((lead[good[0]], p))
+            elif len(lead) < LEADERS:
+                lead = np.append(lead, p)
+        out = np.array(out, np.int64).reshape(-1, 2)
+        return paired(cell, out[:, 0], out[:, 1])
 
     return lambda batches: _emit(pairs(cell) for cell in _cells(batches))
 
 
-def _all_near(percent: int) -> Callable:
-    """In each cell, every pair of points of different components that the tree can't rule out."""
+def _near(percent: int, most: int | None) -> Callable:
+    """In each cell, pairs of points of different components that can't be ruled out: of each guest the `most` with the highest bounds,
+    or all. A pair of the point with itself says that there are more. Small cells are held against each other, large ones by the tree."""
 
     def pairs(cell: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
         n, vec, cls, comp, own = (cell[c] for c in ("n", "vec", "cls", "comp", "own"))
-        if (comp == comp[0]).all():
-            return
-        main = own == 1
-        if not main.any():
+        home, guests = np.flatnonzero(own == 1), np.flatnonzero(own == 0)
+        if not len(home) or not len(guests) or (comp == comp[0]).all():
             return
-        tree = CountTree(vec[main], n[main])
-        cls_in, comp_in = cls[main], comp[main]
-        values, counts = np.unique(comp, return_counts=True)
-        ask = np.flatnonzero((comp != values[counts.argmax()]) | ~main)  # a pair of different components has one outside the largest
-        for i in ask:
-            near = tree.near(vec[i], int(n[i]), percent)
-            near = near[comp_in[near] != comp[i]]
+        if len(home) * len(guests) <= 20_000:
+            i, j = (x.ravel() for x in np.meshgrid(guests, home, indexing="ij"))
+            may = comp[i] != comp[j]
+            i, j = i[may], j[may]
+            good = similar_places(cell, i, j, percent)
+            i, j = i[good], j[good]
+            found = np.split(j, np.flatnonzero(i[1:] != i[:-1]) + 1) if len(i) else []
+            found = zip(i[np.concatenate([[True], i[1:] != i[:-1]])].tolist() if len(i) else [], found, strict=True)
+        else:
+            tree = CountTree(vec[home], n[home])
+            found = ((i, home[tree.near(vec[i], int(n[i]), percent)]) for i in guests.tolist())
+        for i, near in found:
+            near = near[comp[near] != comp[i]]
+            if most is not None and len(near) > most:
+                bound = np.minimum(vec[near], vec[i]).sum(1) / (n[i] + n[near])
+                near = near[np.argsort(-bound, kind="stable")[:most]]
+                yield paired(cell, np.array([i]), np.array([i]))
             if len(near):
-                yield np.stack([np.full(len(near), cls[i]), cls_in[near]], 1)
+                first, own = cls[near] < cls[i], np.full(len(near), i)
+                yield paired(cell, np.where(first, near, own), np.where(first, own, near))
 
     return lambda batches: _emit(p for cell in _cells(batches) for p in pairs(cell))
 
 
-def _sets(k: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for batch in batches:
-            cls, sets = [], []
-            for text, wanted in zip(batch.column("text"), batch.column("cls").to_pylist(), strict=True):
-                own = shingle_set(text.as_py(), k, known)
-                if class_of(own) == wanted:
-                    cls.append(wanted)
-                    sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "own"])
+def _verify(k: int, percent: int) -> Callable:
+    """Of rows (a, b, text_a, text_b), sorted by a, the pairs whose whole sets are similar enough."""
 
-    return run
-
-
-def _verify(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead: tuple[int | None, np.ndarray] = (None, np.empty(0, U))
         for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+            for i, q in enumerate(shingle_sets(batch.column("text_b").to_pylist(), k)):
+                if lead[0] != a[i]:
+                    lead = (a[i], shingle_set(batch.column("text_a")[i].as_py(), k))
+                p = lead[1]
                 both = np.concatenate([p, q])
                 both.sort(kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
+                # an id that several rows share may have brought another row's text
+                keep.append(100 * same >= percent * (len(p) + len(q) - same) and class_of(q) == b[i] and class_of(p) == a[i])
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     return run
 
 
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over links (a, b), at most ONE_TASK of them."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    nodes = [*up]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, comp: the smallest node that each node of the links (a, b) reaches. Each round takes the smallest label around a node, then
-    the label of that label, until none changes; rounds are written, nothing is gathered."""
+    """node, comp: the smallest node that each node of the links (a, b) reaches.
+
+    Up to ONE_TASK links, which are counted first, one task unites. More go in rounds: each takes the smallest label around a node,
+    then the label of that label, until none changes; rounds are written, nothing is gathered."""
+    links = written(links.select("a", "b"), "links")
+    if links.count() <= ONE_TASK:
+        return written(links.coalesce(1).mapInArrow(_union, "node long, comp long"), "labels")
+    return rounds_of_labels(links)
+
+
+def rounds_of_labels(links: DataFrame) -> DataFrame:
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "labels")
     while True:
@@ -238,17 +327,40 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _blocks() -> Column:
+    return F.ceil(F.col("size") / CELL_ROWS).cast("long")
+
+
+def asking_cells(members: DataFrame, asking: DataFrame, all_large: bool) -> DataFrame:
+    """Cells with points that ask, in blocks of about CELL_ROWS: the cell's points at home (own = 1), and as guests (own = 0) those that
+    ask, which visit every block. Classes given ask in all their cells; with all_large, in cells of more than LEADERS points so do all
+    outside the largest component."""
+    points = members.join(asking.select("cls", F.lit(True).alias("given")), "cls", "left").withColumn("asks", F.coalesce("given", F.lit(False)))
+    if all_large:
+        large = points.where(F.col("size") > min(LEADERS, CELL_ROWS)).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        large = large.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("largest"))
+        points = points.join(large, "key", "left").withColumn("asks", F.col("asks") | F.coalesce(F.col("comp") != F.col("largest"), F.lit(False)))
+    n_out = points.where("asks").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("n_out"))
+    points = points.select("key", "size", "cls", "comp", "asks").join(n_out, "key")
+    visits = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    place = lambda seed, n: F.pmod(F.xxhash64("cls", F.lit(seed)), n).cast("int")
+    own = points.select("*", visits(F.col("n_out")).alias("j")).withColumn("i", place(1, _blocks())).withColumn("own", F.lit(1))
+    guests = points.where("asks").select("*", visits(_blocks()).alias("i")).withColumn("j", place(2, F.col("n_out"))).withColumn("own", F.lit(0))
+    return own.unionByName(guests.select(*own.columns)).select(F.xxhash64("key", "i", "j").alias("cell"), "cls", "comp", "own")
+
+
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id: the smallest id that a document reaches by links between documents whose sets of k-word shingles
     have a Jaccard similarity of percent / 100 at least.
 
     1. Documents with equal sets are one class; only classes go on (a group of copies costs a row).
-    2. A set's smallest hashes, as many as the prefix theorem asks for, are its keys; similar sets share one. Classes that share a key
+    2. A set's first members, as many as the prefix theorem asks for, are its keys; similar sets share one. The order is by hash, with
+       frequent keys last. Classes that share a key
        are a cell; of cells with the same classes one stays.
     3. In a cell the classes are points: counts of shingles by hash group. An R-tree bounds overlaps by the summed smaller counts and
-       leaves pairs that may be similar. First each point is paired with one leader near it; pairs are verified on the whole sets, and
-       verified links make components. Then every cell that still holds two components gives all pairs across components that the
-       tree doesn't rule out, to be verified too. A pair within a component would add nothing, so no link that matters is lost.
+       leaves pairs that may be similar. First each point goes with a leader near it, or a few points; pairs are verified on the whole
+       sets, and verified links make components. Points with more pairs across components, and those of large cells, then give them,
+       the likeliest first, until none is left. A pair within a component would add nothing, so no link that matters is lost.
     Cells beyond CELL_ROWS are cut into blocks by digest; the blocks' leaders meet in a round of their own, and points outside a cell's
     largest component visit every block, so no task holds a whole cell.
 
@@ -258,7 +370,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(docs.mapInArrow(_describe(k, percent), SETS), "jaccard-rows")
+    hot = spark.sparkContext.broadcast(hot_keys(docs, k, percent))
+    rows = written(docs.mapInArrow(_describe(k, percent, hot), SETS), "jaccard-rows")
     full = rows.where("n > 0 and doc_id is not null")
     classes = full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("vec").alias("vec"), F.any_value("keys").alias("keys"))
     classes = written(classes, "jaccard-classes")
@@ -267,46 +380,44 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     cells = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("size > 1")
     cells = cells.groupBy("size", "who").agg(F.min("key").alias("key")).select("key", "size")
     members = written(keys.join(cells, "key"), "jaccard-cells")
-    with_points = written(members.join(classes.select("cls", "n", "vec"), "cls"), "jaccard-points")
-    big = bool(with_points.where(F.col("size") > CELL_ROWS).limit(1).count())
-
-    involved = members.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls")
-    sets = written(docs.join(involved, "doc_id").mapInArrow(_sets(k), "cls long, own binary").dropDuplicates(["cls"]), "jaccard-sets")
+    points = written(classes.select("cls", "doc_id", "n", "vec"), "jaccard-points")
+    texts = docs.where("doc_id is not null")
+    release(spark)
 
     def dealt(cells: DataFrame) -> DataFrame:
-        return cells.select("cell", "cls", "comp", "n", "own", "vec").repartition("cell").sortWithinPartitions("cell")
+        """Count vectors join last, so that all before is narrow."""
+        return cells.join(points, "cls").select("cell", "cls", "doc_id", "comp", "n", "own", "vec").repartition("cell").sortWithinPartitions("cell")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().join(sets.select(F.col("cls").alias("a"), F.col("own").alias("set_a")), "a")
-        pairs = pairs.join(sets.select(F.col("cls").alias("b"), F.col("own").alias("set_b")), "b")
-        return written(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), PAIR), "jaccard-links")
+        """Texts and pairs meet by document; then all of a leader's pairs go where its text is."""
+        # pairs that are few, by count, go to the texts; else texts are dealt by document
+        small = F.broadcast if pairs.count() <= FEW_PAIRS else (lambda df: df)
+        leaders = texts.join(small(pairs.select("a", F.col("doc_a").alias("doc_id")).distinct()), "doc_id").select("a", F.col("text").alias("text_a"))
+        others = texts.join(small(pairs.select("a", "b", F.col("doc_b").alias("doc_id"))), "doc_id").select("a", "b", F.col("text").alias("text_b"))
+        out = written(others.join(leaders, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), PAIR).distinct(), "jaccard-links")
+        release(spark)
+        return out
 
     def labelled(links: DataFrame) -> DataFrame:
-        return with_points.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-
-    n_blocks = F.ceil(F.col("size") / CELL_ROWS).cast("int")
-    block = F.pmod(F.xxhash64("cls", F.lit(1)), n_blocks.cast("long")).cast("int")
-    stars = with_points.withColumn("cell", F.xxhash64("key", block)).withColumn("comp", F.col("cls")).withColumn("own", F.lit(1))
-    links = verified(dealt(stars).mapInArrow(_stars(percent), PAIR))
-    if big:  # one point of each component in each cell that was cut
-        heads = labelled(links).where(F.col("size") > CELL_ROWS).groupBy("key", "comp").agg(F.min(F.struct("cls", "n", "vec")).alias("x"))
-        heads = heads.select(F.xxhash64("key").alias("cell"), "comp", "x.*", F.lit(1).alias("own"))
-        links = links.unionByName(verified(dealt(heads).mapInArrow(_stars(percent), PAIR)))
-    now = written(labelled(links), "jaccard-labelled")
-    mixed = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    now = now.join(mixed, "key")
-    if big:
-        sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
-        sizes = sizes.select("key", F.col("m.comp").alias("largest"), F.ceil((F.col("all") - F.col("m.c")) / CELL_ROWS).cast("int").alias("n_out"))
-        now = now.join(sizes, "key").withColumn("block", block)
-        visits = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        out_block = F.pmod(F.xxhash64("cls", F.lit(2)), F.col("n_out").cast("long")).cast("int")
-        own = now.select("*", visits(F.col("n_out")).alias("j")).withColumn("i", F.col("block")).withColumn("own", F.lit(1))
-        guests = now.where("comp <> largest").select("*", visits(n_blocks).alias("i")).withColumn("j", out_block).withColumn("own", F.lit(0))
-        now = own.unionByName(guests.select(*own.columns)).withColumn("cell", F.xxhash64("key", "i", "j"))
-    else:
-        now = now.withColumn("cell", F.col("key")).withColumn("own", F.lit(1))
-    links = links.unionByName(verified(dealt(now).mapInArrow(_all_near(percent), PAIR)))
+        return members.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+
+    own = members.select(F.xxhash64("key", F.pmod(F.xxhash64("cls", F.lit(1)), _blocks()).cast("int")).alias("cell"), "cls", F.col("cls").alias("comp"), F.lit(1).alias("own"))
+    pairs = written(dealt(own).mapInArrow(_stars(percent), PAIR_AT).distinct(), "jaccard-pairs")
+    links = verified(pairs.where("a <> b"))
+    cut = members.where(F.col("size") > CELL_ROWS)
+    if cut.limit(1).count():  # one point of each component in each cell that was cut
+        heads = labelled(links).where(F.col("size") > CELL_ROWS).groupBy("key", "comp").agg(F.min("cls").alias("cls")).select(F.xxhash64("key").alias("cell"), "cls", "comp", F.lit(1).alias("own"))
+        more = written(dealt(heads).mapInArrow(_stars(percent), PAIR_AT).distinct(), "jaccard-pairs")
+        links = links.unionByName(verified(more.where("a <> b")))
+    for nth, most in enumerate(ROUNDS):
+        asking = pairs.where("a = b").select(F.col("a").alias("cls")).distinct()
+        cells = asking_cells(labelled(links), asking, nth == 0)
+        pairs = written(dealt(cells).mapInArrow(_near(percent, most), PAIR_AT).distinct(), "jaccard-pairs")
+        if not pairs.limit(1).count():
+            break
+        links = links.unionByName(verified(pairs.where("a <> b")))
+        if not pairs.where("a = b").limit(1).count():
+            break
 
     comps = classes.select("cls", "doc_id").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     heads = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
