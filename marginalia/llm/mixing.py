@@ -50,7 +50,7 @@ def weighted_fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     virtual finish time is the source's words up to it divided by the source's target, so every source reaches time 1 with its
     target served. All entries are range-sorted by that time and the order is cut where the total budget is used up. Documents
     stay whole: both the order and the cut count a document at its middle, which rounds to the nearest document; at last each source
-    adds or gives back the one document that brings what it takes nearest to its target.
+    that its own cut at time 1 serves better takes that, and adds or gives back the one document that brings it nearest to its target.
 
     Nothing is gathered: the running sum in a source runs within digest ranges of about ROWS_PER_BUCKET documents plus the sums of
     the ranges before; the cut comes from a histogram of fixed size over virtual time, and only its one crossing bucket is sorted.
@@ -88,12 +88,18 @@ def weighted_fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         up = lambda e: early(e) if cut is None else early(e) | (F.struct(middle(e), F.col("h"), e) <= F.struct(F.lit(cut["at"]), F.lit(cut["h"]), F.lit(cut["e"])))
         taken = [F.when(up(F.lit(e)), 1).otherwise(0) for e in range(max_repeats)]
         copies = F.when((F.col("target") > 0) & (F.col("size") > 0), sum(taken[1:], taken[0])).otherwise(0)
-    # whole documents miss a target by half of the last one: each source takes one more, or one less, if that brings it nearer
-    docs = docs.withColumn("copies", copies)
-    sums = docs.groupBy("skey").agg((F.min("target") - F.sum(F.col("size") * F.col("copies"))).alias("short"))
+    # Whole documents miss targets by their rounding, and one source's miss moves the common cut of all. A source that its own cut at
+    # time 1 serves better takes that; then each takes one document more, or one less, if that brings it nearer.
+    own = [F.when(middle(F.lit(e)) <= 1, 1).otherwise(0) for e in range(max_repeats)]
+    docs = docs.withColumn("copies", copies).withColumn("own", F.when((F.col("target") > 0) & (F.col("size") > 0), sum(own[1:], own[0])).otherwise(0))
+    short = lambda c: F.min("target") - F.sum(F.col("size") * F.col(c))
+    sums = docs.groupBy("skey").agg(short("copies").alias("short"), short("own").alias("own_short"))
+    sums = sums.withColumn("alone", F.abs("own_short") < F.abs("short")).withColumn("short", F.when(F.col("alone"), F.col("own_short")).otherwise(F.col("short")))
+    # a row per source, written: small ones broadcast by their size, so that documents aren't dealt by source
+    docs = docs.join(written(sums, "mix-short"), "skey").withColumn("copies", F.when(F.col("alone"), F.col("own")).otherwise(F.col("copies")))
     fit = F.when(F.col("short") > 0, F.col("copies") < max_repeats).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (F.abs(F.abs("short") - F.col("size")) < F.abs("short"))
-    best = docs.join(sums, "skey").where(fit).groupBy("skey").agg(F.min(F.struct(F.abs(F.abs("short") - F.col("size")).alias("off"), "h", "row")).alias("x"), F.min(F.signum("short")).alias("change"))
-    docs = docs.join(best.select(F.col("skey"), F.col("x.row").alias("fix"), "change"), "skey", "left")
+    best = docs.where(fit).groupBy("skey").agg(F.min(F.struct(F.abs(F.abs("short") - F.col("size")).alias("off"), "h", "row")).alias("x"), F.min(F.signum("short")).alias("change"))
+    docs = docs.join(written(best.select("skey", F.col("x.row").alias("fix"), "change"), "mix-fix"), "skey", "left")
     copies = F.col("copies") + F.when(F.col("row") == F.col("fix"), F.col("change")).otherwise(0)
     # documents without words cost nothing: they stay once where their source is served at all
     copies = F.when((F.col("size") == 0) & (F.col("target") > 0), 1).otherwise(copies)
