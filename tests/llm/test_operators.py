@@ -222,6 +222,8 @@ def brute_components(rows, k, percent):
 @pytest.mark.parametrize(("k", "percent", "cell"), [(4, 85, 2048), (5, 80, 3), (2, 60, 2)])
 def test_jaccard(docs, none, monkeypatch, k, percent, cell):
     monkeypatch.setattr(jaccard, "CELL_ROWS", cell)
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    monkeypatch.setattr(jaccard, "ONE_TASK", 10**6 if cell == 3 else 0)
     got = jaccard.similar_documents(docs, k=k, percent=percent).collect()
     assert collections.Counter(tuple(r) for r in got) == brute_components(rows_of(docs), k, percent)
     assert jaccard.similar_documents(none).count() == 0
