@@ -51,3 +51,14 @@ def ordered_ids(items: DataFrame, order: list[str], name: str = "note_id") -> Da
     starts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     nth = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
     return parts.join(F.broadcast(starts.select("_p", "_start")), "_p").withColumn(name, F.col("_start") + nth).drop("_p", "_start")  # a row per partition
+
+
+def with_prior(items: DataFrame, order: list[str], value: str, name: str = "prior") -> DataFrame:
+    """Adds the value of the row before in the given order, nulls last. Ranges of the order look back by themselves; the last row of each goes to the next that has rows."""
+    ascending = [F.col(c).asc_nulls_last() for c in order]
+    parts = items.repartitionByRange(*ascending).withColumn("_p", F.spark_partition_id()).persist()
+    place = F.struct(*[x for k, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{k}"), F.col(c).alias(f"c{k}"))])
+    ends = parts.groupBy("_p").agg(F.max_by(value, place).alias("_end")).select("_p", F.lag("_end").over(Window.orderBy("_p")).alias("_carried"))
+    within = Window.partitionBy("_p").orderBy(*ascending)
+    prior = F.when(F.row_number().over(within) == 1, F.col("_carried")).otherwise(F.lag(value).over(within))
+    return parts.join(F.broadcast(ends), "_p").withColumn(name, prior).drop("_p", "_carried")  # a row per partition

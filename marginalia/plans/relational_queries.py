@@ -171,9 +171,10 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG("""SELECT doc_id, CASE WHEN lag(h) OVER (ORDER BY doc_id) < h THEN 'rising' ELSE 'falling' END AS order_check FROM (SELECT doc_id, doc_id * 7919 % 1000 AS h FROM documents)""")
 def order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strictly rising keys by lag; the ids are dealt in ranges first, and each range looks back one row."""
+    from ..operators.tagindex import with_prior
+
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 7919 % 1000).alias("h"))
-    before = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.col("h").alias("prior"))  # ids have no gaps here, so the row before is a join away
-    return rows.join(before, "doc_id", "left").select("doc_id", F.when(F.col("prior") < F.col("h"), "rising").otherwise("falling").alias("order_check"))
+    return with_prior(rows, ["doc_id", "h"], "h").select("doc_id", F.when(F.col("prior") < F.col("h"), "rising").otherwise("falling").alias("order_check"))
 
 
 @REG("""SELECT doc_id, rn FROM (SELECT doc_id, (row_number() OVER (ORDER BY lower(lang), doc_id) - 1)::BIGINT AS rn FROM documents)""")
