@@ -25,3 +25,20 @@ def test_prior_with_repeats_and_nulls(spark):
     want = [(*r, before) for r, before in zip(rows, [None, *(r[1] for r in rows[:-1])], strict=True)]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert tagindex.with_prior(spark.createDataFrame([], "a long").withColumn("b", F.col("a")), ["a"], "b").count() == 0
+
+
+def test_cycles_of_all_parts(spark, tmp_path):
+    suppliers, lines = range(1, 12), [(p, (p * p) % 11 + 1 + k) for p in range(1, 60) for k in range(2)]
+    spark.createDataFrame([(k,) for k in suppliers], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    up = {s + 10**6: {0: s + 10**6, 1: s + 10**6 + 1, 2: s + 10**6 - 1}.get(s % 5) for s in suppliers}
+    up |= {p: min(s for q, s in lines if q == p) + 10**6 for p, _ in lines}
+    want = set()
+    for k in up:
+        seen, at = {k}, up[k]
+        while at in up and at not in seen:
+            seen.add(at)
+            at = up[at]
+        want |= {(k, "cycle")} if at in seen else set()
+    assert {k % 7 for k, _ in want if k < 60} == {*range(7)}
+    assert {tuple(r) for r in catalog.QUERIES["cycle_depth_check_all"](spark, str(tmp_path)).collect()} == want
