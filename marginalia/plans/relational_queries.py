@@ -110,14 +110,24 @@ _EDGES = """SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineit
 @REG(f"""WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey <= (SELECT min(o_orderkey) + 20 FROM orders)
          UNION SELECT e.dst FROM e JOIN r ON e.src = r.id) SELECT id FROM r""")
 def reachable_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the first orders reach through their lines, parts' suppliers, nations and regions."""
+    """What the first orders, those its SQL names, reach through their lines, parts' suppliers, nations and regions."""
+    orders = table(spark, sf_dir, "orders")
+    least = orders.agg(F.min("o_orderkey")).first()[0]
+    return reached(spark, sf_dir, orders.where(F.col("o_orderkey") <= least + 20))
+
+
+def reached(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     lines = table(spark, sf_dir, "lineitem")
     edges = lines.select(key("o", "l_orderkey").alias("src"), key("p", "l_partkey").alias("dst")).unionAll(lines.select(key("p", "l_partkey"), key("s", "l_suppkey")).distinct())
     edges = edges.unionAll(table(spark, sf_dir, "supplier").select(key("s", "s_suppkey"), key("n", "s_nationkey"))).unionAll(table(spark, sf_dir, "nation").select(key("n", "n_nationkey"), key("r", "n_regionkey")))
-    orders = table(spark, sf_dir, "orders")
-    least = orders.agg(F.min("o_orderkey")).first()[0]
-    return graph.reachable(orders.where(F.col("o_orderkey") <= least + 20).select(key("o", "o_orderkey").alias("id")), edges)
+    return graph.reachable(orders.select(key("o", "o_orderkey").alias("id")), edges)
+
+
+@REG(REG.oracles["reachable_closure"].replace(" WHERE o_orderkey <= (SELECT min(o_orderkey) + 20 FROM orders)", ""))
+def reachable_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all orders reach."""
+    return reached(spark, sf_dir, table(spark, sf_dir, "orders"))
 
 
 @REG("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

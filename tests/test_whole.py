@@ -42,3 +42,18 @@ def test_cycles_of_all_parts(spark, tmp_path):
         want |= {(k, "cycle")} if at in seen else set()
     assert {k % 7 for k, _ in want if k < 60} == {*range(7)}
     assert {tuple(r) for r in catalog.QUERIES["cycle_depth_check_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_closure_of_all_orders(spark, tmp_path):
+    orders, lines = [*range(1, 90, 2)], [(o, o * 3 % 50, o % 9) for o in range(1, 100)]
+    spark.createDataFrame([(k,) for k in orders], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, k % 4) for k in range(9)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(5)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    to = [(f"o{o}", f"p{p}") for o, p, _ in lines] + [(f"p{p}", f"s{s}") for _, p, s in lines] + [(f"s{k}", f"n{k % 4}") for k in range(9)] + [(f"n{k}", f"r{k % 2}") for k in range(5)]
+    want, fresh = set(), {f"o{k}" for k in orders}
+    while fresh:
+        want |= fresh
+        fresh = {b for a, b in to if a in fresh} - want
+    got = [r[0] for r in catalog.QUERIES["reachable_closure_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and "o89" in want
