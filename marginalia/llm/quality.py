@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_batches
+from .common import bounded_batches, discard, written
 
-#: Labelled and unlabelled rows that the models are fitted on, at most; rounds; pseudo-labels that a view hands over per round and class.
+#: Labelled rows that the models are fitted on, at most; rounds; pseudo-labels that a view hands over per round and class.
 SAMPLE, ROUNDS, HANDED = 12_000, 4, 300
 HASHED = 64
 STOP = frozenset(("the of and to in is that a for de la le les que der die und el los en").split())  # function words of the four languages
@@ -117,42 +119,85 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(self.text.logit(t) + self.page.logit(p) - prior, -30, 30)))
 
 
-def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, free_text: np.ndarray, free_page: np.ndarray, *, rounds: int = ROUNDS, handed: int = HANDED, penalty: float = 1.0) -> CoTrained:
-    """Fits both views on the labelled rows; in each round a view labels the unlabelled rows that it is surest of, those beyond 0.98 or
-    0.02 and at most `handed` a class, for the other view. Every fifth labelled row is kept aside for calibration."""
+#: Log odds beyond which a view is sure of a row.
+SURE = 3.9
+#: From the models and the rows given to each view so far: for each view its new rows (id, label, text view, page view).
+Surest = Callable[[dict[str, "Logistic"], dict[str, dict]], dict[str, list[tuple[object, float, np.ndarray, np.ndarray]]]]
+
+
+def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, surest: Surest, *, rounds: int = ROUNDS, penalty: float = 1.0) -> CoTrained:
+    """Fits both views on the labelled rows; in each round a view labels those unlabelled rows not yet given that it is surest of, for
+    the other view. Every fifth labelled row is kept aside for calibration."""
     prior = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     if len(y) < 20 or len(set(y.tolist())) < 2:
         return CoTrained(None, None, prior if len(y) else 1.0 - 1e-3)
     aside = np.arange(len(y)) % 5 == 0
-    views, free = {"text": text, "page": page}, {"text": free_text, "page": free_page}
-    given: dict[str, dict[int, float]] = {"text": {}, "page": {}}
+    views = {"text": text, "page": page}
+    given: dict[str, dict] = {"text": {}, "page": {}}
     models: dict[str, Logistic] = {}
 
     def fit(name: str) -> None:
-        at = np.fromiter(given[name], np.int64, len(given[name]))
-        x = np.concatenate([views[name][~aside], free[name][at]])
-        target = np.concatenate([y[~aside], np.fromiter(given[name].values(), np.float64, len(at))])
-        models[name] = Logistic(penalty).fit(x, target, np.concatenate([np.ones((~aside).sum()), np.full(len(at), 0.5)]))
+        more = [*given[name].values()]
+        x = np.concatenate([views[name][~aside], *[v[None] for _, v in more]])
+        target = np.concatenate([y[~aside], np.array([label for label, _ in more], np.float64)])
+        models[name] = Logistic(penalty).fit(x, target, np.concatenate([np.ones((~aside).sum()), np.full(len(more), 0.5)]))
         models[name].calibrate(views[name][aside], y[aside])
 
     for name in views:
         fit(name)
-    for _ in range(rounds if len(free_text) else 0):
-        sure = {}
-        for name, other in (("text", "page"), ("page", "text")):
-            logit = models[name].logit(free[name])
-            order = np.argsort(logit, kind="stable")
-            take = [*[i for i in order[:handed] if logit[i] < -3.9], *[i for i in order[::-1][:handed] if logit[i] > 3.9]]
-            sure[other] = {int(i): float(logit[i] > 0) for i in take if int(i) not in given[other]}
-        for name, more in sure.items():
-            given[name] |= more
-        if not any(sure.values()):
+    for _ in range(rounds):
+        more = surest(models, given)
+        for name, rows in more.items():
+            given[name] |= {i: (label, t if name == "text" else p) for i, label, t, p in rows}
+        if not any(more.values()):
             break
         for name in views:
             fit(name)
     return CoTrained(models["text"], models["page"], prior, (len(given["text"]), len(given["page"])))
 
 
+def surest_of(pool: DataFrame, handed: int = HANDED) -> Surest:
+    """Of all rows of the pool (doc_id, x), at most `handed` a class and view that the other view is surest of, those given to it before
+    left out. A narrow pass keeps so many of each partition, the rest is decided on these."""
+    other = {"text": "page", "page": "text"}
+    n = len(text_view(""))
+    kind = T.StructType([T.StructField("to", T.StringType()), T.StructField("label", T.DoubleType()), T.StructField("sure", T.DoubleType()), T.StructField("tie", T.StringType()), pool.schema["doc_id"], pool.schema["x"]])
+
+    def surest(models: dict[str, Logistic], given: dict[str, dict]) -> dict[str, list[tuple[object, float, np.ndarray, np.ndarray]]]:
+        shared = pool.sparkSession.sparkContext.broadcast((models, {k: set(v) for k, v in given.items()}))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models, gone = shared.value
+            top: dict[tuple[str, float], list[tuple]] = {(to, label): [] for to in other for label in (0.0, 1.0)}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, x = batch.column("doc_id").to_pylist(), batch.column("x").to_pylist()
+                rows = np.frombuffer(b"".join(x), np.float64).reshape(len(x), -1)
+                for to, by in other.items():
+                    logit = models[by].logit(rows[:, :n] if by == "text" else rows[:, n:])
+                    for k in np.flatnonzero(np.abs(logit) > SURE).tolist():
+                        if ids[k] not in gone[to]:
+                            top[to, float(logit[k] > 0)].append((-abs(float(logit[k])), xxhash.xxh64_hexdigest(str(ids[k])), ids[k], x[k]))
+                for key in top:
+                    top[key] = sorted(top[key], key=lambda r: r[:2])[:handed]
+            rows = [(to, label, *r) for (to, label), found in top.items() for r in found]
+            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in rows], schema)
+
+        found = written(pool.mapInArrow(best, kind), "quality-surest")
+        tops = [found.where((F.col("to") == to) & (F.col("label") == label)).orderBy("sure", "tie").limit(handed) for to in other for label in (0.0, 1.0)]
+        got = reduce(DataFrame.unionByName, tops).collect()  # at most 4 * handed rows of some hundred numbers
+        discard(found)
+        out: dict[str, list[tuple]] = {to: [] for to in other}
+        for r in sorted(got, key=lambda r: (r["to"], r["label"], r["sure"], r["tie"])):
+            v = np.frombuffer(bytes(r["x"]), np.float64)
+            out[r["to"]].append((r["doc_id"], r["label"], v[:n], v[n:]))
+        return out
+
+    schema = to_arrow_schema(kind)
+    return surest
+
+
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     t, p = [], []
     for text, lang, source, n in zip(*(batch.column(c) for c in ("text", "lang", "source", "n_chars")), strict=True):
@@ -165,27 +210,26 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            t, p = _views(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(t.tolist()), pa.array(p.tolist())], ["doc_id", "y", "t", "p"])
+            x = np.concatenate(_views(batch), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", sample: int = SAMPLE, rounds: int = ROUNDS) -> CoTrained:
-    """Fits the two views on at most `sample` labelled and as many unlabelled documents, chosen by a digest of their ids."""
+    """Fits the two views on at most `sample` labelled documents, chosen by a digest of their ids, and on what each view hands over of
+    all unlabelled ones. The numbers of all documents are written once, so the rounds read no text."""
     bounded_batches(docs.sparkSession)
-    first = lambda df: df.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label_col).cast("double")).alias("y"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    chosen = first(known.join(ids, "doc_id", "left_semi")).unionByName(first(ids.join(known, "doc_id", "left_anti")).withColumn("y", F.lit(None).cast("double")))
-    # broadcast: at most 2 * sample pairs of numbers
-    rows = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(chosen), "doc_id")
-    got = rows.mapInArrow(_features, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("y", T.DoubleType()), T.StructField("t", T.ArrayType(T.DoubleType())), T.StructField("p", T.ArrayType(T.DoubleType()))]))
-    got = got.groupBy("doc_id").agg(F.min(F.struct("y", "t", "p")).alias("x")).select("doc_id", "x.*").toArrow()  # at most 2 * sample rows of some hundred numbers
+    rows = docs.where("doc_id is not null").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    rows = rows.mapInArrow(_features, T.StructType([docs.schema["doc_id"], T.StructField("x", T.BinaryType())]))
+    rows = written(rows.groupBy("doc_id").agg(F.min("x").alias("x")).join(known, "doc_id", "left"), "quality-views")
+    got = rows.where("y is not null").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample).toArrow()  # at most sample rows of some hundred numbers
     order = np.argsort([xxhash.xxh64_hexdigest(str(i)) for i in got.column("doc_id").to_pylist()], kind="stable")
-    if not len(order):
-        return CoTrained(None, None, 1.0 - 1e-3)
-    y, t, p = (np.array(got.column(c).to_pylist(), np.float64)[order] for c in ("y", "t", "p"))
-    has = ~np.isnan(y)
-    return co_train(t[has], p[has], y[has], t[~has], p[~has], rounds=rounds)
+    n = len(text_view(""))
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float64).reshape(len(order), -1 if len(order) else n)[order]
+    y = np.array(got.column("y").to_pylist(), np.float64)[order]
+    model = co_train(x[:, :n], x[:, n:], y, surest_of(rows.where("y is null").select("doc_id", "x")), rounds=rounds)
+    discard(rows)
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained, *, threshold: float = 0.5, with_text: bool = True) -> DataFrame:
