@@ -266,14 +266,15 @@ def _verify(k: int, percent: int) -> Callable:
     """Of rows (a, b, text_a, text_b), sorted by a, the pairs whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead: tuple[int | None, np.ndarray] = (None, np.empty(0, U))
+        lead: tuple[int | None, str | None, np.ndarray] = (None, None, np.empty(0, U))
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
             for i, q in enumerate(shingle_sets(batch.column("text_b").to_pylist(), k)):
-                if lead[0] != a[i]:
-                    lead = (a[i], shingle_set(batch.column("text_a")[i].as_py(), k))
-                p = lead[1]
+                text = batch.column("text_a")[i].as_py()
+                if lead[:2] != (a[i], text):
+                    lead = (a[i], text, shingle_set(text, k))
+                p = lead[2]
                 both = np.concatenate([p, q])
                 both.sort(kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
