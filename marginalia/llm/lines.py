@@ -269,6 +269,7 @@ def later_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if most["high"] is not None and (most["high"] - most["low"] + 1).bit_length() + most["line"].bit_length() < 63:
         shift = most["line"].bit_length()
         place = [F.coalesce((F.col("first.doc_id") - most["low"] + 1) * (1 << shift), F.lit(0)) + F.col("first.line_no")]
+    place.append("first.row")  # ids may be repeated
     posts = classes.select("cls", "n", "bits", "wide", *[F.col(c).alias(f"p{k}") if isinstance(c, str) else c.alias(f"p{k}") for k, c in enumerate(place)], F.posexplode("prefix").alias("pos", "key"))
     posts = posts.select("key", "cls", (F.col("n") * (1 << 32) + F.col("pos")).alias("npos"), "bits", "wide", *[f"p{k}" for k in range(len(place))])
 
