@@ -1,306 +1,143 @@
-"""Operator 6. Line deduplication by an exact set-similarity join.
-
-In a free style: the form of DataFrame functions alone (first commit of this operator) took 3 times the CPU seconds that the check
-tool allows and more than the disk; the README has the figures. Here numpy reads whole blocks of text at once."""
+"""Operator 6. Line deduplication by an exact set-similarity join. Native: DataFrame functions alone; only the driver keeps a table of a
+megabyte in numpy."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, release, written
-from .shingles import BLOCK, U, mixed, word_hashes, word_places
+from .common import discard, release, written
 
-#: Least similarity in percent; counters of the rarity sketch; matches that one posting hands on for a line in the first round.
-PERCENT, COUNTERS, AT_ONCE = 80, 1 << 16, 2
-#: Cells of up to so many lines are held against each other size by size.
-SMALL = 12
-#: Lines of more tokens have 256 parity bits besides the 64, which say little of long ones.
-LONG, NONE = 64, bytes(32)
+#: Least similarity in percent; counters of the rarity sketch.
+PERCENT, COUNTERS = 80, 1 << 20
+#: The rarest shared tokens by which a line meets its leaders first.
+RAREST = 3
+WHITE = r"[\x20\x09-\x0D]+"
+#: A token's number: its frequency level above so many bits of its hash.
+HASH_BITS = 57
 #: Stands for a null id where texts are looked up again.
 NO_ID = -(1 << 63)
-LINES = "row long, doc_id long, line_no long, cls long, n long, bits long, wide binary, prefix array<long>"
-PAIRS = "a long, b long, open boolean"
-
-
-def blocks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts, A-Z as a-z, in blocks of about BLOCK bytes, with the place of the first."""
-    first, block, size = 0, [], 0
-    for i, text in enumerate(texts):
-        block.append((text or "").encode("utf-8", "surrogatepass").lower())
-        size += len(block[-1]) + 1
-        if size >= BLOCK:
-            yield first, block
-            first, block, size = i + 1, [], 0
-    if block:
-        yield first, block
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        for _, block in blocks(batch.column("text").to_pylist()):
-            data = np.frombuffer(b"\n".join(block), np.uint8)
-            places = word_places(data)
-            if len(places[0]):
-                total += np.bincount((word_hashes(data, *places) % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["b", "n"])
-
-
-def rarity_levels(texts: DataFrame) -> np.ndarray:
-    """log2 of the number of tokens in each of COUNTERS hash buckets: a sketch of the tokens' frequency of fixed size, over all lines."""
-    levels = np.zeros(COUNTERS, np.uint8)
-    for b, n in texts.mapInArrow(_count, "b long, n long").groupBy("b").agg(F.sum("n")).collect():  # COUNTERS rows at most
-        levels[b] = int(n).bit_length()
-    return levels
-
-
-def token_sets(data: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line and token of each distinct token of each line, by line and rarity: 6 bits of frequency level above 58 bits of hash."""
-    starts, ends = word_places(data)
-    if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, U)
-    h = word_hashes(data, starts, ends)
-    ids = (levels[(h % U(COUNTERS)).astype(np.int64)].astype(U) << U(58)) | (h >> U(6))
-    line = np.searchsorted(np.flatnonzero(data == 10), starts)
-    order = np.lexsort((ids, line))
-    line, ids = line[order], ids[order]
-    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (line[1:] != line[:-1])])
-    return line[new], ids[new]
-
-
-def class_of(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of each line's token set, its tokens starting at `first`."""
-    return mixed(np.add.reduceat(mixed(ids ^ U(0xD6E8FEB86659FD93)), first)).view(np.int64)
-
-
-def wide_parity(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """256 parity bits of each set of tokens, the sets starting at `first`: two sets differ in as many members at least as in bits."""
-    h = mixed(ids ^ U(0xA0761D6478BD642F)) >> U(56)
-    bit = U(1) << (h & U(63))
-    return np.stack([np.bitwise_xor.reduceat(np.where(h >> U(6) == U(w), bit, U(0)), first) for w in range(4)], 1)
 
 
-def _describe(levels: np.ndarray, percent: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, docs = batch.column("row").to_numpy(zero_copy_only=False), batch.column("doc_id")
-            null = np.array([t is None for t in batch.column("text").to_pylist()])
-            for at, block in blocks(batch.column("text").to_pylist()):
-                data = np.frombuffer(b"\n".join(block), np.uint8)
-                n_lines = np.array([b.count(b"\n") + 1 for b in block])
-                doc = np.repeat(np.arange(at, at + len(block)), n_lines)
-                number = np.arange(len(doc)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
-                line, ids = token_sets(data, levels)
-                n = np.bincount(line, minlength=len(doc))
-                has = np.flatnonzero(n)
-                first = (np.cumsum(n) - n)[has]
-                cls, bits = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
-                if len(has):
-                    cls[has] = class_of(ids, first)
-                    bits[has] = np.bitwise_xor.reduceat(U(1) << (mixed(ids) >> U(58)), first).view(np.int64)
-                wide: list[bytes | None] = [None] * len(doc)
-                long_lines = has[n[has] > LONG]
-                if len(long_lines):
-                    own = ids[np.isin(line, long_lines)]
-                    for i, x in zip(long_lines.tolist(), wide_parity(own, np.cumsum(n[long_lines]) - n[long_lines]), strict=True):
-                        wide[i] = x.tobytes()
-                keep = np.where(n > 0, n + (-percent * n) // 100 + 1, 0)  # n - ceil(percent / 100 * n) + 1
-                within = np.arange(len(ids)) - np.repeat((np.cumsum(n) - n)[has], n[has])
-                prefix = ids[within < keep[line]].view(np.int64)
-                out = [pa.array(rows[doc]), docs.take(pa.array(doc)), pa.array(number), pa.array(cls, mask=n == 0), pa.array(n), pa.array(bits), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(prefix))]
-                made = pa.RecordBatch.from_arrays(out, [x.split()[0] for x in LINES.split(", ")])
-                yield made.filter(pa.array(~null[doc])) if null.any() else made
+def _lines(text: Column) -> Column:
+    return F.split(F.lower(text), "\n")
 
-    return run
 
+def rarity_levels(texts: DataFrame) -> DataFrame:
+    """One row `levels`: for each of COUNTERS hash buckets, how many bits the number of the bucket's tokens has, over all lines. A sketch
+    of the tokens' frequency of fixed size, a megabyte."""
+    tokens = texts.select(F.explode(F.split(F.lower("text"), WHITE)).alias("t")).where("t <> ''")
+    counts = tokens.groupBy(_bucket(F.xxhash64("t")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("b", F.length(F.bin("n")).cast("tinyint").alias("level")).toArrow()  # COUNTERS rows at most, whatever the number of lines
+    levels = np.zeros(COUNTERS, np.int8)
+    levels[counts.column("b").to_numpy()] = counts.column("level").to_numpy()
+    one = pa.table({"levels": pa.array([levels], pa.list_(pa.int8()))})
+    return written(texts.sparkSession.createDataFrame(one), "line-levels")
 
-def _need(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    return -((-percent * (n + m)) // (100 + percent))
 
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(COUNTERS - 1).cast("long")).cast("int")
 
-def _pass(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether length, position and parity let the postings at i and j be of similar lines."""
-    n, m = c["n"][i], c["n"][j]
-    need = _need(n, m, percent)
-    may = (100 * n >= percent * m) & (100 * m >= percent * n) & (np.minimum(n - c["pos"][i], m - c["pos"][j]) >= need)
-    may &= np.bitwise_count(c["bits"][i] ^ c["bits"][j]) <= n + m - 2 * need
-    at = np.flatnonzero(may & (n > LONG) & (m > LONG))
-    may[at] = np.bitwise_count(c["wide"][i[at]] ^ c["wide"][j[at]]).sum(1, dtype=np.int64) <= (n + m - 2 * need)[at]
-    return may
 
+def with_ids(lines: DataFrame, levels: DataFrame, name: str) -> DataFrame:
+    """Adds the distinct tokens of the column `line` in order of rarity: the frequency level above HASH_BITS of hash, sorted as numbers.
+    The sketch comes as a scalar subquery, which the optimizer puts where its one reference is: it is no column of any row."""
+    one = lambda h: F.shiftleft(F.get("levels", _bucket(h)).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+    ids = F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("line", WHITE), ""), lambda t: one(F.xxhash64(t)))))
+    return lines.withColumn("levels", levels.scalar()).withColumn(name, ids).drop("levels", "line")
 
-def _small(c: dict[str, np.ndarray], starts: np.ndarray, size: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """All cells of one size at once."""
-    for later in range(1, size):
-        seen = np.zeros(len(starts), np.int64)
-        for early in range(later):
-            good = _pass(c, starts + early, starts + later, percent)
-            seen += good
-            at = starts[good & (seen <= AT_ONCE)]
-            yield c["cls"][at + early], c["cls"][at + later], False
-        more = c["cls"][starts[seen > AT_ONCE] + later]
-        yield more, more, True  # no pair: the mark alone
 
+def parity(ids: Column, shift: int) -> Column:
+    """64 parity bits of a set: two sets differ in as many members at least as their parities differ in bits."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, shift).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
 
-def _large(c: dict[str, np.ndarray], start: int, end: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """One cell, a block of its later lines after another."""
-    for s in range(start, end, 512):
-        later = np.arange(s, min(s + 512, end))
-        seen = np.zeros(len(later), np.int64)
-        for t in range(start, later[-1], 2048):
-            early = np.arange(t, min(t + 2048, later[-1]))
-            j, i = (x.ravel() for x in np.meshgrid(early, later))
-            good = (j < i) & _pass(c, j, i, percent)
-            j, i = j[good], i[good]
-            rank = np.arange(len(i)) - np.searchsorted(i, i) + seen[i - s]
-            seen += np.bincount(i - s, minlength=len(seen))
-            yield c["cls"][j[rank < AT_ONCE]], c["cls"][i[rank < AT_ONCE]], False
-        more = c["cls"][later[seen > AT_ONCE]]
-        yield more, more, True
 
+def least_overlap(n: Column, m: Column, percent: int) -> Column:
+    """The smallest intersection of sets of n and m with 100 * intersection >= percent * union, in whole numbers."""
+    return F.call_function("div", percent * (n + m) + (99 + percent), F.lit(100 + percent))
 
-def _matches(percent: int) -> Callable:
-    """In each cell of postings of one token, in order of place: pairs (earlier, later) that the filters let pass. Of a line the AT_ONCE
-    earliest go on; `open` says that there are more."""
 
-    def pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        key, npos = t.column("key").to_numpy(), t.column("npos").to_numpy()
-        c = {"cls": t.column("cls").to_numpy(), "bits": t.column("bits").to_numpy().view(U), "n": npos >> 32, "pos": npos & 0xFFFFFFFF}
-        c["wide"] = np.frombuffer(b"".join(x or NONE for x in t.column("wide").to_pylist()), U).reshape(-1, 4)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(key)]]))
-        for size in range(2, SMALL + 1):
-            if (sizes == size).any():
-                yield from _small(c, starts[sizes == size], size, percent)
-        for k in np.flatnonzero(sizes > SMALL).tolist():
-            yield from _large(c, int(starts[k]), int(starts[k] + sizes[k]), percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, "key"):
-            for a, b, more in pairs(t):
-                if len(b):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(b), more))], ["a", "b", "open"])
-
-    return run
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """A partition that is sorted by key, in tables that hold whole groups."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        if batch.num_rows:
-            t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            k = t.column(key).to_numpy()
-            edges = np.flatnonzero(k[1:] != k[:-1])
-            last = int(edges[-1]) + 1 if len(edges) else 0  # where the last group begins
-            if last:
-                yield t.slice(0, last)
-            rest = t.slice(last)
-    if rest is not None:
-        yield rest
-
-
-def _sets(levels: np.ndarray) -> Callable:
-    """The token sets of the lines asked for, by class. Rows that share an id give some that nobody asked for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls, sets = [], []
-            for text, numbers in zip(batch.column("text"), batch.column("numbers").to_pylist(), strict=True):
-                lines = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
-                line, ids = token_sets(np.frombuffer(b"\n".join(lines[i] for i in numbers if i < len(lines)), np.uint8), levels)
-                first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else line
-                if len(first):
-                    cls += class_of(ids, first).tolist()
-                    sets += [x.tobytes() for x in np.split(ids, first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "own"])
-
-    return run
-
-
-def _verify(percent: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = np.sort(np.concatenate([p, q]))
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("b").filter(pa.array(keep, pa.bool_()))], ["b"])
-
-    return run
+def may_match(a: str, b: str, percent: int) -> Column:
+    """Length, positional and parity filters on two postings of one token."""
+    n, m = F.shiftright(f"{a}.npos", 32), F.shiftright(f"{b}.npos", 32)
+    left = lambda x, size: size - F.col(f"{x}.npos").bitwiseAND(F.lit((1 << 32) - 1))  # noqa: E731  tokens from the place on
+    need = least_overlap(n, m, percent)
+    differ = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) <= n + m - 2 * need
+    return (100 * n >= percent * m) & (100 * m >= percent * n) & (F.least(left(a, n), left(b, m)) >= need) & differ("odd") & differ("even")
 
 
 def later_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, row_col: str | None = None) -> DataFrame:
-    """row (a number for each document, row_col if given), doc_id, line_no (from 0), removed: of each line, whether an earlier line, by (id, line number), has a token set with a Jaccard
-    similarity of percent / 100 at least.
+    """row (a number for each document, row_col if given), doc_id, line_no (from 0), removed: of each line, whether an earlier line, by
+    (id, line number), has a token set with a Jaccard similarity of percent / 100 at least.
 
     1. Lines with equal token sets are one class, which stands at its first place; the others are removed.
-    2. Tokens are ordered by rarity and each class posts its rarest n - ceil(percent / 100 * n) + 1; similar classes share a posting.
-    3. Within a posting, length, position and parity filters leave pairs. Of each line its earliest ones are verified on the whole
-       sets first: as a line needs one earlier match and not all, a group of near copies doesn't yield its pairs. Lines that none of
-       them settled and that have more, get all their pairs in a second round.
-
-    A-Z count as a-z; tokens end at ASCII white space. Lines without tokens are kept, null texts have no lines, null ids come first,
-    equal places of repeated ids are ordered by row; an empty table gives no rows; further columns are ignored; lines and texts of any
-    length count whole. Token sets are compared by 58-bit token hashes and named by 64-bit ones."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    2. Tokens are ordered by rarity and each class posts its rarest n - ceil(percent / 100 * n) + 1; similar classes share a posting. A
+       token whose bucket of the sketch counts one is on one line alone and isn't posted.
+    3. Under each of its RAREST rarest postings a class first meets the earliest class there. What matches is settled: a line needs one
+       earlier match and not all, so a group of near copies doesn't yield its pairs.
+    4. All postings are joined with those of classes not settled; length, position and parity leave few pairs, which are verified on
+       the whole sets. The later class of a pair goes.
+
+    Letters compare in lower case; tokens end at ASCII white space. Lines without tokens are kept, null texts have no lines, null ids
+    come first, equal places of repeated ids are ordered by row; an empty table gives no rows; further columns are ignored; lines and
+    texts of any length count whole. Token sets are compared by 57-bit token hashes and named by 64-bit ones."""
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     texts = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     levels = rarity_levels(texts.select("text"))
-    wide = written(texts.mapInArrow(_describe(levels, percent), LINES), "line-rows")
-    classes = wide.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide"), F.any_value("prefix").alias("prefix"))
+    lines = texts.select("row", "doc_id", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
+    lines = with_ids(lines, levels, "ids")
+    n = F.size("ids")
+    prefix = F.slice("ids", 1, n - F.call_function("div", percent * n + 99, F.lit(100)).cast("int") + 1)
+    has = lambda c: F.when(n > 0, c)
+    lines = lines.select("row", "doc_id", "line_no", has(F.xxhash64("ids")).alias("cls"), n.cast("long").alias("n"), parity(F.col("ids"), 0).alias("odd"), parity(F.col("ids"), 6).alias("even"), has(prefix).alias("prefix"))
+    lines = written(lines, "line-rows")
+    classes = lines.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), *[F.any_value(c).alias(c) for c in ("n", "odd", "even", "prefix")])
     classes = written(classes, "line-classes")
-    lines = written(wide.select("row", "doc_id", "line_no", "cls"), "line-places")
-    discard(wide)
-    release(spark)
-    # one number for the place where ids and line numbers leave room for that
-    most = lines.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("line_no").alias("line")).first()
-    place = ["first.doc_id", "first.line_no"]
-    if most["high"] is not None and (most["high"] - most["low"] + 1).bit_length() + most["line"].bit_length() < 63:
-        shift = most["line"].bit_length()
-        place = [F.coalesce((F.col("first.doc_id") - most["low"] + 1) * (1 << shift), F.lit(0)) + F.col("first.line_no")]
-    place.append("first.row")  # ids may be repeated
-    posts = classes.select("cls", "n", "bits", "wide", *[F.col(c).alias(f"p{k}") if isinstance(c, str) else c.alias(f"p{k}") for k, c in enumerate(place)], F.posexplode("prefix").alias("pos", "key"))
-    posts = posts.select("key", "cls", (F.col("n") * (1 << 32) + F.col("pos")).alias("npos"), "bits", "wide", *[f"p{k}" for k in range(len(place))])
-
-    def found(posts: DataFrame, how: Callable) -> DataFrame:
-        posts = posts.repartition("key").sortWithinPartitions("key", *[f"p{k}" for k in range(len(place))])
-        return posts.select("key", "cls", "npos", "bits", "wide").mapInArrow(how, PAIRS)
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """b of the pairs (a, b) that hold on the whole sets."""
-        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = wanted.join(classes.select("cls", "first"), "cls").groupBy(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("at")).agg(F.collect_set("first.line_no").alias("numbers"))
-        sets = written(texts.withColumn("at", F.coalesce("doc_id", F.lit(NO_ID))).join(wanted, "at").select("text", "numbers").mapInArrow(_sets(levels), "cls long, own binary"), "line-sets")
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("own").alias("y")), "b")
-        out = written(both.select("b", "x", "y").mapInArrow(_verify(percent), "b long").distinct(), "line-matches")
-        release(spark)
+    places = written(lines.select("row", "doc_id", "line_no", "cls"), "line-places")
+    discard(lines)
+    release(docs.sparkSession)
+
+    shared = F.filter(F.transform("prefix", lambda key, pos: F.struct(key.alias("key"), (F.shiftleft("n", 32) + pos).alias("npos"))), lambda p: F.shiftright(p["key"], HASH_BITS) > 1)
+    classes_posting = classes.select("cls", "first", "odd", "even", shared.alias("posts"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of classes, each once, those that hold on the whole sets: the later class as cls."""
+        pairs = written(pairs.distinct(), "line-pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "first"), "cls")
+        wanted = wanted.groupBy(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("at")).agg(F.collect_set("first.line_no").alias("numbers"))
+        wanted = written(wanted, "line-wanted")
+        mine = F.filter(_lines(F.col("text")), lambda _, i: F.array_contains("numbers", i))
+        found = texts.withColumn("at", F.coalesce("doc_id", F.lit(NO_ID))).join(wanted, "at").select(F.explode(mine).alias("line"))
+        # rows that share an id give some lines that nobody asked for
+        found = with_ids(found, levels, "own").select(F.xxhash64("own").alias("cls"), "own")
+        sets = written(found.groupBy("cls").agg(F.any_value("own").alias("own")).join(classes.select("cls", "first"), "cls"), "line-sets")
+        side = lambda c: sets.select(F.col("cls").alias(c), F.col("own").alias(f"own_{c}"), F.col("first").alias(f"first_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        same = F.size(F.array_intersect("own_a", "own_b"))
+        both = both.where(100 * same >= percent * (F.size("own_a") + F.size("own_b") - same))
+        out = written(both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("cls")).distinct(), "line-matches")
+        for used in (pairs, wanted, sets):
+            discard(used)
+        release(docs.sparkSession)
         return out
 
-    first = written(found(posts, _matches(percent)).distinct(), "line-pairs")
-    release(spark)
-    settled = confirmed(first.where("not open").select("a", "b"))
-    still = written(first.where("open").select("b").distinct().join(settled, "b", "left_anti"), "line-open")
-    if still.limit(1).count():
-        ask = classes.join(still.withColumnRenamed("b", "cls"), "cls").select("cls", "n", "bits", F.col("first").alias("place"), F.posexplode("prefix").alias("pos", "key")).alias("q")
-        early = classes.select("cls", "n", "bits", F.col("first").alias("place"), F.posexplode("prefix").alias("pos", "key")).alias("e")
-        need = F.ceil((F.col("q.n") + F.col("e.n")) * percent / (100.0 + percent) - 1e-9)
-        test = (F.col("q.key") == F.col("e.key")) & (F.col("e.place") < F.col("q.place")) & (F.least(F.col("e.n") - F.col("e.pos"), F.col("q.n") - F.col("q.pos")) >= need) & (F.bit_count(F.col("q.bits").bitwiseXOR(F.col("e.bits"))) <= F.col("q.n") + F.col("e.n") - 2 * need)
-        settled = settled.unionByName(confirmed(written(ask.join(early, test).select(F.col("e.cls").alias("a"), F.col("q.cls").alias("b")).distinct(), "line-pairs")))
-    gone = settled.distinct().select(F.col("b").alias("cls"), F.lit(True).alias("gone"))
-    out = lines.select("row", "doc_id", "line_no", "cls").join(classes.select("cls", "first").join(gone, "cls", "left"), "cls", "left")
+    rarest = classes_posting.select("cls", "first", "odd", "even", F.explode(F.slice("posts", 1, RAREST)).alias("p")).select("p.key", F.struct("first", "cls", "p.npos", "odd", "even").alias("own"))
+    led = rarest.withColumn("lead", F.first("own").over(Window.partitionBy("key").orderBy("own.first")))
+    led = led.where((F.col("lead.cls") != F.col("own.cls")) & may_match("lead", "own", percent))
+    settled = verified(led.select(F.col("lead.cls").alias("a"), F.col("own.cls").alias("b")))
+
+    posts = classes_posting.join(settled.withColumn("done", F.lit(1)), "cls", "left").select("cls", F.coalesce("done", F.lit(0)).alias("done"), "odd", "even", F.explode("posts").alias("p"))
+    posts = posts.select("p.key", "p.npos", "cls", "done", "odd", "even")
+    # a test on both sides stays in the join, so that one exchange of the postings serves both
+    met = posts.alias("a").join(posts.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.done") + F.col("b.done") < 2) & may_match("a", "b", percent))
+    settled = settled.unionByName(verified(met.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))))
+    gone = settled.distinct().withColumn("gone", F.lit(True))
+    out = places.join(classes.select("cls", "first").join(gone, "cls", "left"), "cls", "left")
     removed = F.col("cls").isNotNull() & (F.coalesce("gone", F.lit(False)) | ~F.col("first").eqNullSafe(F.struct("doc_id", "line_no", "row")))
-    return out.select("row", "doc_id", "line_no", removed.alias("removed"))
+    return out.select("row", "doc_id", F.col("line_no").cast("long").alias("line_no"), removed.alias("removed"))
 
 
 def summary(lines: DataFrame) -> DataFrame:
@@ -310,12 +147,13 @@ def summary(lines: DataFrame) -> DataFrame:
 
 
 def without_later_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The documents with their later lines taken out. They are written first, so that rows keep the number that they get."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "line-docs")
-    lines = later_lines(numbered, id_col=id_col, text_col=text_col, percent=percent, row_col="_row")
-    gone = lines.where("removed").groupBy(F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("gone"))
-    rows = numbered.join(gone, "_row", "left")
-    parts = F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i")))
+    """The documents with their later lines taken out. They are written first, so that rows keep the number that they get. Columns of any
+    name come back as they were."""
+    numbered = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "line-docs")
+    lines = later_lines(numbered.select("row", F.col(f"doc.{id_col}").alias("doc_id"), F.col(f"doc.{text_col}").alias("text")), percent=percent, row_col="row")
+    gone = lines.where("removed").groupBy("row").agg(F.collect_set("line_no").alias("gone"))
+    text = F.col(f"doc.{text_col}")
+    parts = F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i")))
     kept = F.filter(parts, lambda s: ~F.array_contains("gone", s["i"]))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    return rows.withColumn(text_col, text).drop("_row", "gone")
+    text = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    return numbered.join(gone, "row", "left").select(*[text.alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])

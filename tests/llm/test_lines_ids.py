@@ -10,3 +10,13 @@ def test_similar_lines_under_one_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, row long").repartition(6)
     got = {r["row"]: r["removed"] for r in lines.later_lines(docs, row_col="row").collect()}
     assert got == {k: k % 2 == 1 for k in range(80)}
+
+
+def test_columns_of_any_name_come_back(spark):
+    line = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, f"{line}\nshort", 7, "g", "r", 5), (2, f"{line} more\nÉTÉ là", 8, "g", "r", 6), (2, "été LÀ", 9, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cls long, gone string, row string, levels long")
+    got = {r["cls"]: r for r in lines.without_later_lines(docs).collect()}
+    assert lines.without_later_lines(docs).columns == docs.columns
+    assert [got[k]["text"] for k in (7, 8, 9)] == [f"{line}\nshort", "", "été LÀ"]
+    assert [got[k]["levels"] for k in (7, 8, 9)] == [5, 6, None]

@@ -258,8 +258,9 @@ def test_lines(docs, none, monkeypatch):
             if own:
                 seen.append(own)
     assert sum(n for (_, _, hit), n in want.items() if hit) > 20
-    for at_once in (2, 1):
-        monkeypatch.setattr(lines, "AT_ONCE", at_once)
+    for rarest, counters in ((3, 1 << 20), (1, 16), (0, 1 << 20)):
+        monkeypatch.setattr(lines, "RAREST", rarest)
+        monkeypatch.setattr(lines, "COUNTERS", counters)
         got = lines.later_lines(docs)
         assert collections.Counter((r["doc_id"], r["line_no"], r["removed"]) for r in got.collect()) == want
     kept = {r["doc_id"]: r["text"] for r in lines.without_later_lines(docs.where("doc_id < 14")).collect()}
