@@ -8,11 +8,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, release, written
+from .common import bounded_batches, discard, release, written
 from .shingles import U, shingle_set, shingle_sets
 
 #: Words in a shingle; the least similarity in percent.
@@ -21,16 +21,14 @@ K, PERCENT = 4, 85
 #: a point that go on from a cell at first.
 GROUPS, LEAF, CELL_ROWS, LEADERS, AT_ONCE = 256, 32, 2048, 64, 2
 MANY = 255
-#: A key of more documents is frequent; so many frequent keys are told apart at most.
-FREQUENT, HOT_KEYS = 200, 100_000
+#: Counters of the sketch of shingles, in parts of so many; a counter that is above FREQUENT, and the mean thrice, stands for frequent shingles.
+COUNTERS, PART, FREQUENT = 1 << 20, 1 << 14, 200
 #: Pairs of a point that go on in each round after the first; None: all that are left.
 ROUNDS = (4, 32, None)
-#: Pairs that are broadcast to the texts, at most: three numbers each, some 20 MB.
-FEW_PAIRS = 500_000
-#: Links that one task unites, at most: some 100 MB.
-ONE_TASK = 1_000_000
+#: Parity bits of a set, at least.
+LEAST_BITS = 512
 
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("vec", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("vec", T.BinaryType()), T.StructField("odd", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 PAIR = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
 PAIR_AT = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "doc_a", "doc_b")])
 
@@ -54,46 +52,78 @@ def count_vector(own: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((own >> U(17)).astype(np.int64) % GROUPS, minlength=GROUPS), MANY).astype(np.uint8)
 
 
-def prefix(own: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    """A set's keys: its first members in an order that is the same for all sets, frequent ones last, then by hash."""
-    if not len(own):
-        return own
-    frequent = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own if len(hot) else np.zeros(len(own), bool)
-    return np.concatenate([own[~frequent], own[frequent]])[: prefix_length(len(own), percent)]
+def parity(own: np.ndarray) -> np.ndarray:
+    """Parity bits by hash, as bytes, half as many as members at least: two sets differ in as many members at least as in bits."""
+    bits = max(LEAST_BITS, 1 << (len(own) - 1).bit_length() if len(own) else 0)
+    return np.packbits((np.bincount((own >> U(13)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little")
 
 
-def _keys(k: int, percent: int) -> Callable:
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many members at least two sets with these parity bits differ. The longer of two is folded: a bit's place is its hash modulo
+    their number."""
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), 0) ^ y).sum(dtype=np.int64))
+
+
+def prefix(own: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """A set's keys: its first members in an order that is the same for all sets: frequent ones last, by level, then by hash."""
+    level = levels[(own & U(COUNTERS - 1)).astype(np.int64)]
+    frequent = level > 0
+    if frequent.any():
+        late = own[frequent]
+        own = np.concatenate([own[~frequent], late[np.argsort(level[frequent], kind="stable")]])
+    return own[: prefix_length(len(own), percent)] if len(own) else own
+
+
+def _tally(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            # twice the keys: those behind frequent ones move up
-            keys = [own[: 2 * prefix_length(len(own), percent)] for own in shingle_sets(batch.column("text").to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, U), *keys]).view(np.int64))], ["key"])
+            for own in shingle_sets(batch.column("text").to_pylist(), k):
+                np.add.at(total, (own & U(COUNTERS - 1)).astype(np.int64), 1)
+        parts = total.reshape(-1, PART).astype(np.uint32 if total.max() < 1 << 32 else np.int64)
+        at = np.flatnonzero(total.reshape(-1, PART).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([parts[p].tobytes() for p in at], pa.binary())], ["part", "counts"])
 
     return run
 
 
-def hot_keys(docs: DataFrame, k: int, percent: int) -> np.ndarray:
-    """Shingles that are keys of more than FREQUENT documents, and so many that the list has HOT_KEYS at most. They go last in the order of
-    keys; any order gives the same result, but with frequent ones last a passage that many documents share makes few large cells."""
-    counts = docs.select("text").mapInArrow(_keys(k, percent), "key long").groupBy("key").count().where(F.col("count") > FREQUENT)
-    counts = written(counts, "jaccard-frequent")
-    top = counts.orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key").toArrow()  # a bounded list of numbers
-    release(docs.sparkSession)
-    return np.sort(top.column("key").to_numpy().view(U))
-
-
-def _describe(k: int, percent: int, hot: Broadcast) -> Callable:
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each part that this task has: its counts in all."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+            own = counts.as_py()
+            counted = np.frombuffer(own, np.uint32 if len(own) == 4 * PART else np.int64)
+            total[part] = total.get(part, 0) + counted.astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
+
+
+def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
+    """For each of COUNTERS hash buckets 0, or how many bits its number of shingles over all documents has where that is above FREQUENT
+    and thrice the mean. A sketch of fixed size. Frequent shingles go last in the order of keys; any order gives the same result, but
+    with frequent ones last a passage that many documents share makes few large cells."""
+    counts = docs.select("text").mapInArrow(_tally(k), "part long, counts binary").repartition("part").mapInArrow(_summed, "part long, counts binary")
+    total = np.zeros((COUNTERS // PART, PART), np.int64)
+    for part, own in counts.collect():  # 8 bytes for each counter at most
+        total[part] = np.frombuffer(own, np.int64)
+    flat = total.ravel()
+    return np.where(flat > max(FREQUENT, 3 * int(flat.mean())), np.frexp(flat.astype(np.float64))[1], 0).astype(np.uint8)
+
+
+def _describe(k: int, percent: int, levels: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls, vec, keys = [], [], [], [np.empty(0, np.int64)]
+            n, cls, vec, odd, keys = [], [], [], [], [np.empty(0, np.int64)]
             for own in shingle_sets(batch.column("text").to_pylist(), k):
                 n.append(len(own))
                 cls.append(class_of(own))
                 vec.append(count_vector(own).tobytes())
-                keys.append(prefix(own, hot.value, percent).view(np.int64))
+                odd.append(parity(own).tobytes())
+                keys.append(prefix(own, levels.value, percent).view(np.int64))
             ends = np.cumsum([len(x) for x in keys]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(vec, pa.binary()), lists], SETS.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(vec, pa.binary()), pa.array(odd, pa.binary()), lists], SETS.names)
 
     return run
 
@@ -120,18 +150,23 @@ class CountTree:
         self.most = np.maximum.reduceat(v, starts)
         self.least_n, self.most_n = np.minimum.reduceat(m, starts), np.maximum.reduceat(m, starts)
 
-    def near(self, vec: np.ndarray, n: int, percent: int) -> np.ndarray:
-        """Points that may be similar enough to the given one: the rest can't be, by size or by bound."""
-        may = np.minimum(self.most, vec).sum(1) >= least_overlap(n, np.maximum(self.least_n, -(-percent * n // 100)), percent)
-        may &= (100 * self.most_n >= percent * n) & (100 * n >= percent * self.least_n)
-        at = np.flatnonzero(may)
-        if not len(at):
-            return at
-        inside = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-        points = self.order[inside[inside < len(self.order)]]
-        m = self.n[points]
-        good = np.minimum(self.vec[points], vec).sum(1) >= least_overlap(n, m, percent)
-        return points[good & (100 * m >= percent * n) & (100 * n >= percent * m)]
+    def near(self, vec: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a given point's place and a place in the tree that may be similar enough, ordered by the given one; the rest can't be,
+        by size or by bound. Leaves are tried first, then the points of those left."""
+        step = max(1, (1 << 20) // self.most.size)
+        for s in range(0, len(n), step):
+            v, m = vec[s : s + step], n[s : s + step, None]
+            may = np.minimum(self.most, v[:, None]).sum(2) >= least_overlap(m, np.maximum(self.least_n, -(-percent * m // 100)), percent)
+            may &= (100 * self.most_n >= percent * m) & (100 * m >= percent * self.least_n)
+            i, leaf = np.nonzero(may)
+            for t in range(0, len(i), 256):
+                inside = leaf[t : t + 256, None] * LEAF + np.arange(LEAF)
+                who = np.repeat(i[t : t + 256], LEAF)[inside.ravel() < len(self.order)] + s
+                at = self.order[inside.ravel()[inside.ravel() < len(self.order)]]
+                size, other = n[who], self.n[at]
+                good = np.flatnonzero((100 * size >= percent * other) & (100 * other >= percent * size))
+                good = good[np.minimum(self.vec[at[good]], vec[who[good]]).sum(1) >= least_overlap(size[good], other[good], percent)]
+                yield who[good], at[good]
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -210,9 +245,10 @@ def _stars(percent: int) -> Callable:
         order = np.argsort(cell["cls"].view(U) * U(0x9E3779B97F4A7C15), kind="stable")
         m = len(order)
         if m <= LEADERS:
-            j, i = np.tril_indices(m, -1)  # by later point
-            good = similar_places(cell, order[i], order[j], percent)
-            i, j = i[good], j[good]
+            v, size = cell["vec"][order], cell["n"][order]
+            j, i = (np.concatenate(x) for x in zip(*CountTree(v, size).near(v, size, percent), (np.empty(0, np.int64),) * 2, strict=True))
+            by = np.lexsort((i, j))[(i < j)[np.lexsort((i, j))]]
+            j, i = j[by], i[by]
             rank = np.arange(len(j)) - np.searchsorted(j, j)
             more = np.unique(j[rank >= AT_ONCE])
             return paired(cell, order[np.concatenate([i[rank < AT_ONCE], more])], order[np.concatenate([j[rank < AT_ONCE], more])])
@@ -231,26 +267,19 @@ def _stars(percent: int) -> Callable:
 
 def _near(percent: int, most: int | None) -> Callable:
     """In each cell, pairs of points of different components that can't be ruled out: of each guest the `most` with the highest bounds,
-    or all. A pair of the point with itself says that there are more. Small cells are held against each other, large ones by the tree."""
+    or all. A pair of the point with itself says that there are more."""
 
     def pairs(cell: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
         n, vec, cls, comp, own = (cell[c] for c in ("n", "vec", "cls", "comp", "own"))
         home, guests = np.flatnonzero(own == 1), np.flatnonzero(own == 0)
         if not len(home) or not len(guests) or (comp == comp[0]).all():
             return
-        if len(home) * len(guests) <= 20_000:
-            i, j = (x.ravel() for x in np.meshgrid(guests, home, indexing="ij"))
-            may = comp[i] != comp[j]
-            i, j = i[may], j[may]
-            good = similar_places(cell, i, j, percent)
-            i, j = i[good], j[good]
-            found = np.split(j, np.flatnonzero(i[1:] != i[:-1]) + 1) if len(i) else []
-            found = zip(i[np.concatenate([[True], i[1:] != i[:-1]])].tolist() if len(i) else [], found, strict=True)
-        else:
-            tree = CountTree(vec[home], n[home])
-            found = ((i, home[tree.near(vec[i], int(n[i]), percent)]) for i in guests.tolist())
-        for i, near in found:
-            near = near[comp[near] != comp[i]]
+        tree = CountTree(vec[home], n[home])
+        found = [(guests[who], home[at]) for who, at in tree.near(vec[guests], n[guests], percent)]
+        who, at = (np.concatenate(x) for x in zip(*found, (np.empty(0, np.int64),) * 2, strict=True))
+        who, at = who[comp[who] != comp[at]], at[comp[who] != comp[at]]
+        first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else who
+        for i, near in zip(who[first].tolist(), np.split(at, first[1:]), strict=True) if len(who) else ():
             if most is not None and len(near) > most:
                 bound = np.minimum(vec[near], vec[i]).sum(1) / (n[i] + n[near])
                 near = near[np.argsort(-bound, kind="stable")[:most]]
@@ -286,35 +315,25 @@ def _verify(k: int, percent: int) -> Callable:
     return run
 
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over links (a, b), at most ONE_TASK of them."""
-    up: dict[int, int] = {}
+def _may_hold(percent: int) -> Callable:
+    """Of rows with sizes n_a, n_b and parities odd_a, odd_b, those that may be similar enough."""
 
-    def root(x: int) -> int:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = x = up[y]
-        return x
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            most = n + m - 2 * least_overlap(n, m, percent)
+            odd = [[np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(c)] for c in ("odd_a", "odd_b")]
+            keep = [differing(x, y) <= d for x, y, d in zip(*odd, most.tolist(), strict=True)]
+            yield batch.select(PAIR_AT.names).filter(pa.array(keep, pa.bool_()))
 
-    for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            x, y = root(a), root(b)
-            up[max(x, y)] = min(x, y)
-    nodes = [*up]
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "comp"])
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node that each node of the links (a, b) reaches.
 
-    Up to ONE_TASK links, which are counted first, one task unites. More go in rounds: each takes the smallest label around a node,
-    then the label of that label, until none changes; rounds are written, nothing is gathered."""
-    links = written(links.select("a", "b"), "links")
-    if links.count() <= ONE_TASK:
-        return written(links.coalesce(1).mapInArrow(_union, "node long, comp long"), "labels")
-    return rounds_of_labels(links)
-
-
-def rounds_of_labels(links: DataFrame) -> DataFrame:
+    In rounds: each takes the smallest label around a node, then the label of that label, until none changes; rounds are written, nothing
+    is gathered."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "labels")
     while True:
@@ -323,11 +342,21 @@ def rounds_of_labels(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("on"))
         new = written(new.join(jump, "comp", "left").select("node", "was", F.least("comp", "on").alias("comp")), "labels")
         changed = new.where("was <> comp").limit(1).count()
+        discard(labels)
         labels = new.select("node", "comp")
         if not changed:
             return labels
 
 
+def united(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, comp) after further links: only components and nodes that these join get new ones."""
+    old = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    between = links.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).where("a <> b").distinct()
+    new = components(between)
+    moved = labels.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("on")), "comp", "left").select("node", F.coalesce("on", "comp").alias("comp"))
+    return written(moved.unionByName(new.join(labels, "node", "left_anti")), "labels")
+
+
 def _blocks() -> Column:
     return F.ceil(F.col("size") / CELL_ROWS).cast("long")
 
@@ -356,11 +385,10 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     1. Documents with equal sets are one class; only classes go on (a group of copies costs a row).
     2. A set's first members, as many as the prefix theorem asks for, are its keys; similar sets share one. The order is by hash, with
-       frequent keys last. Classes that share a key
-       are a cell; of cells with the same classes one stays.
+       frequent keys last. Classes that share a key are a cell; of cells with the same classes one stays.
     3. In a cell the classes are points: counts of shingles by hash group. An R-tree bounds overlaps by the summed smaller counts and
-       leaves pairs that may be similar. First each point goes with a leader near it, or a few points; pairs are verified on the whole
-       sets, and verified links make components. Points with more pairs across components, and those of large cells, then give them,
+       leaves pairs that may be similar. First each point goes with a leader near it, or a few points; pairs that parity bits don't rule
+       out are verified on the whole sets, and verified links make components. Points with more pairs across components, and those of large cells, then give them,
        the likeliest first, until none is left. A pair within a component would add nothing, so no link that matters is lost.
     Cells beyond CELL_ROWS are cut into blocks by digest; the blocks' leaders meet in a round of their own, and points outside a cell's
     largest component visit every block, so no task holds a whole cell.
@@ -371,17 +399,26 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hot = spark.sparkContext.broadcast(hot_keys(docs, k, percent))
-    rows = written(docs.mapInArrow(_describe(k, percent, hot), SETS), "jaccard-rows")
+    levels = spark.sparkContext.broadcast(frequency_levels(docs, k))
+    rows = written(docs.mapInArrow(_describe(k, percent, levels), SETS), "jaccard-rows")
     full = rows.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("vec").alias("vec"), F.any_value("keys").alias("keys"))
+    classes = full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("vec").alias("vec"), F.any_value("odd").alias("odd"), F.any_value("keys").alias("keys"))
     classes = written(classes, "jaccard-classes")
+    sizes = written(rows.select("doc_id", "n", "cls"), "jaccard-sizes")
+    discard(rows)
+    release(spark)
 
-    keys = classes.select("cls", F.explode("keys").alias("key"))
-    cells = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("size > 1")
-    cells = cells.groupBy("size", "who").agg(F.min("key").alias("key")).select("key", "size")
-    members = written(keys.join(cells, "key"), "jaccard-cells")
+    by = Window.partitionBy("key")
+    keys = classes.select("cls", F.explode("keys").alias("key")).withColumn("size", F.count(F.lit(1)).over(by)).withColumn("who", F.bit_xor(F.xxhash64("cls")).over(by))
+    keys = written(keys.where("size > 1"), "jaccard-keys")
+    release(spark)
+    cells = keys.groupBy("size", "who").agg(F.min("key").alias("key")).select("key")
+    members = written(keys.join(cells, "key", "left_semi").select("key", "cls", "size"), "jaccard-cells")
     points = written(classes.select("cls", "doc_id", "n", "vec"), "jaccard-points")
+    parities = written(classes.select("cls", "n", "odd"), "jaccard-parities")
+    heads = written(classes.select("cls", "doc_id"), "jaccard-heads")
+    for used in (keys, classes):
+        discard(used)
     texts = docs.where("doc_id is not null")
     release(spark)
 
@@ -390,39 +427,39 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return cells.join(points, "cls").select("cell", "cls", "doc_id", "comp", "n", "own", "vec").repartition("cell").sortWithinPartitions("cell")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Texts and pairs meet by document; then all of a leader's pairs go where its text is."""
-        # pairs that are few, by count, go to the texts; else texts are dealt by document
-        small = F.broadcast if pairs.count() <= FEW_PAIRS else (lambda df: df)
-        leaders = texts.join(small(pairs.select("a", F.col("doc_a").alias("doc_id")).distinct()), "doc_id").select("a", F.col("text").alias("text_a"))
-        others = texts.join(small(pairs.select("a", "b", F.col("doc_b").alias("doc_id"))), "doc_id").select("a", "b", F.col("text").alias("text_b"))
+        """Pairs that parities let through go on; texts and pairs meet by document; then all of a leader's pairs go where its text is."""
+        side = lambda c: parities.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
+        pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_may_hold(percent), PAIR_AT), "jaccard-likely")
+        leaders = texts.join(pairs.select("a", F.col("doc_a").alias("doc_id")).distinct(), "doc_id").select("a", F.col("text").alias("text_a"))
+        others = texts.join(pairs.select("a", "b", F.col("doc_b").alias("doc_id")), "doc_id").select("a", "b", F.col("text").alias("text_b"))
         out = written(others.join(leaders, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), PAIR).distinct(), "jaccard-links")
+        discard(pairs)
         release(spark)
         return out
 
-    def labelled(links: DataFrame) -> DataFrame:
-        return members.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    def labelled(labels: DataFrame) -> DataFrame:
+        return members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
     own = members.select(F.xxhash64("key", F.pmod(F.xxhash64("cls", F.lit(1)), _blocks()).cast("int")).alias("cell"), "cls", F.col("cls").alias("comp"), F.lit(1).alias("own"))
     pairs = written(dealt(own).mapInArrow(_stars(percent), PAIR_AT).distinct(), "jaccard-pairs")
-    links = verified(pairs.where("a <> b"))
-    cut = members.where(F.col("size") > CELL_ROWS)
-    if cut.limit(1).count():  # one point of each component in each cell that was cut
-        heads = labelled(links).where(F.col("size") > CELL_ROWS).groupBy("key", "comp").agg(F.min("cls").alias("cls")).select(F.xxhash64("key").alias("cell"), "cls", "comp", F.lit(1).alias("own"))
-        more = written(dealt(heads).mapInArrow(_stars(percent), PAIR_AT).distinct(), "jaccard-pairs")
-        links = links.unionByName(verified(more.where("a <> b")))
+    labels = components(verified(pairs.where("a <> b")))
+    if members.where(F.col("size") > CELL_ROWS).limit(1).count():  # one point of each component in each cell that was cut
+        ones = labelled(labels).where(F.col("size") > CELL_ROWS).groupBy("key", "comp").agg(F.min("cls").alias("cls")).select(F.xxhash64("key").alias("cell"), "cls", "comp", F.lit(1).alias("own"))
+        more = written(dealt(ones).mapInArrow(_stars(percent), PAIR_AT).distinct(), "jaccard-pairs")
+        labels = united(labels, verified(more.where("a <> b")))
     for nth, most in enumerate(ROUNDS):
         asking = pairs.where("a = b").select(F.col("a").alias("cls")).distinct()
-        cells = asking_cells(labelled(links), asking, nth == 0)
+        cells = asking_cells(labelled(labels), asking, nth == 0)
         pairs = written(dealt(cells).mapInArrow(_near(percent, most), PAIR_AT).distinct(), "jaccard-pairs")
         if not pairs.limit(1).count():
             break
-        links = links.unionByName(verified(pairs.where("a <> b")))
+        labels = united(labels, verified(pairs.where("a <> b")))
         if not pairs.where("a = b").limit(1).count():
             break
 
-    comps = classes.select("cls", "doc_id").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    heads = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    comps = comps.join(heads, "comp").select("cls", "component_id")
-    linked = full.select("doc_id", "n", "cls").join(comps, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    comps = heads.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    least = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    comps = comps.join(least, "comp").select("cls", "component_id")
+    linked = sizes.where("n > 0 and doc_id is not null").join(comps, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = sizes.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumnRenamed("doc_id", id_col)

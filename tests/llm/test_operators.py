@@ -223,7 +223,6 @@ def brute_components(rows, k, percent):
 def test_jaccard(docs, none, monkeypatch, k, percent, cell):
     monkeypatch.setattr(jaccard, "CELL_ROWS", cell)
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
-    monkeypatch.setattr(jaccard, "ONE_TASK", 10**6 if cell == 3 else 0)
     got = jaccard.similar_documents(docs, k=k, percent=percent).collect()
     assert collections.Counter(tuple(r) for r in got) == brute_components(rows_of(docs), k, percent)
     assert jaccard.similar_documents(none).count() == 0
@@ -235,10 +234,16 @@ def test_count_tree_bounds_and_shingles():
     vec[150:] = vec[:150] + (rng.random((150, jaccard.GROUPS)) < 0.1)
     n = vec.sum(1)
     tree = jaccard.CountTree(vec, n)
-    for i in range(0, 300, 7):
+    found = {(int(i), int(j)) for who, at in tree.near(vec, n, 85) for i, j in zip(who, at, strict=True)}
+    for i in range(300):
         bound = np.minimum(vec, vec[i]).sum(1)
         want = (bound >= jaccard.least_overlap(n, n[i], 85)) & (100 * n >= 85 * n[i]) & (100 * n[i] >= 85 * n)
-        assert set(tree.near(vec[i], int(n[i]), 85).tolist()) == set(np.flatnonzero(want).tolist())
+        assert {j for k, j in found if k == i} == set(np.flatnonzero(want).tolist())
+    sets = [np.unique(rng.integers(0, 1 << 63, m).astype(np.uint64)) for m in (1, 40, 600, 700, 1500)]
+    for p in sets:
+        for q in sets:
+            assert jaccard.differing(jaccard.parity(p), jaccard.parity(q)) <= len(np.setxor1d(p, q))
+    assert jaccard.differing(jaccard.parity(sets[3]), jaccard.parity(sets[4])) > 400
     for t in texts():
         w = (t or "").encode().lower().split()
         assert len(shingle_set(t, 4)) == (len({tuple(w[i : i + 4]) for i in range(len(w) - 3)}) if len(w) >= 4 else min(len(w), 1))
