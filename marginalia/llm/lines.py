@@ -12,8 +12,8 @@ from .common import discard, release, written
 
 #: Least similarity in percent; counters of the rarity sketch.
 PERCENT, COUNTERS = 80, 1 << 20
-#: The rarest shared tokens by which a line meets its leaders first.
-RAREST = 3
+#: Tokens in a signature: lines meet first by the smallest and by the largest token hashes.
+SIGNED = 2
 WHITE = r"[\x20\x09-\x0D]+"
 #: A token's number: its frequency level above so many bits of its hash.
 HASH_BITS = 57
@@ -55,6 +55,11 @@ def parity(ids: Column, shift: int) -> Column:
     return F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
 
 
+def signatures(ids: Column) -> Column:
+    hashes = F.sort_array(F.transform(ids, lambda x: x.bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
+    return F.transform(F.array(hashes), lambda h: F.array(F.xxhash64(F.slice(h, 1, SIGNED)), F.xxhash64(F.reverse(F.slice(F.reverse(h), 1, SIGNED)), F.lit(1))))[0]
+
+
 def least_overlap(n: Column, m: Column, percent: int) -> Column:
     """The smallest intersection of sets of n and m with 100 * intersection >= percent * union, in whole numbers."""
     return F.call_function("div", percent * (n + m) + (99 + percent), F.lit(100 + percent))
@@ -76,8 +81,9 @@ def later_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     1. Lines with equal token sets are one class, which stands at its first place; the others are removed.
     2. Tokens are ordered by rarity and each class posts its rarest n - ceil(percent / 100 * n) + 1; similar classes share a posting. A
        token whose bucket of the sketch counts one is on one line alone and isn't posted.
-    3. Under each of its RAREST rarest postings a class first meets the earliest class there. What matches is settled: a line needs one
-       earlier match and not all, so a group of near copies doesn't yield its pairs.
+    3. By the hashes of its SIGNED smallest and largest token hashes, and by its rarest posting, a class first meets the earliest class
+       that has the same. What matches is settled: a line needs one earlier match and not all, so a group of near copies, most of which
+       share one of these, doesn't yield its pairs.
     4. All postings are joined with those of classes not settled; length, position and parity leave few pairs, which are verified on
        the whole sets. The later class of a pair goes.
 
@@ -92,16 +98,16 @@ def later_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     n = F.size("ids")
     prefix = F.slice("ids", 1, n - F.call_function("div", percent * n + 99, F.lit(100)).cast("int") + 1)
     has = lambda c: F.when(n > 0, c)
-    lines = lines.select("row", "doc_id", "line_no", has(F.xxhash64("ids")).alias("cls"), n.cast("long").alias("n"), parity(F.col("ids"), 0).alias("odd"), parity(F.col("ids"), 6).alias("even"), has(prefix).alias("prefix"))
+    lines = lines.select("row", "doc_id", "line_no", has(F.xxhash64("ids")).alias("cls"), n.cast("long").alias("n"), parity(F.col("ids"), 0).alias("odd"), parity(F.col("ids"), 6).alias("even"), has(prefix).alias("prefix"), has(signatures(F.col("ids"))).alias("signs"))
     lines = written(lines, "line-rows")
-    classes = lines.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), *[F.any_value(c).alias(c) for c in ("n", "odd", "even", "prefix")])
+    classes = lines.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), *[F.any_value(c).alias(c) for c in ("n", "odd", "even", "prefix", "signs")])
     classes = written(classes, "line-classes")
     places = written(lines.select("row", "doc_id", "line_no", "cls"), "line-places")
     discard(lines)
     release(docs.sparkSession)
 
     shared = F.filter(F.transform("prefix", lambda key, pos: F.struct(key.alias("key"), (F.shiftleft("n", 32) + pos).alias("npos"))), lambda p: F.shiftright(p["key"], HASH_BITS) > 1)
-    classes_posting = classes.select("cls", "first", "odd", "even", shared.alias("posts"))
+    classes_posting = classes.select("cls", "first", "n", "odd", "even", "signs", shared.alias("posts"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of classes, each once, those that hold on the whole sets: the later class as cls."""
@@ -124,8 +130,9 @@ def later_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         release(docs.sparkSession)
         return out
 
-    rarest = classes_posting.select("cls", "first", "odd", "even", F.explode(F.slice("posts", 1, RAREST)).alias("p")).select("p.key", F.struct("first", "cls", "p.npos", "odd", "even").alias("own"))
-    led = rarest.withColumn("lead", F.first("own").over(Window.partitionBy("key").orderBy("own.first")))
+    meeting = F.array_compact(F.array_union("signs", F.slice("posts.key", 1, 1)))
+    meeting = classes_posting.select(F.struct("first", "cls", F.shiftleft("n", 32).alias("npos"), "odd", "even").alias("own"), F.explode(meeting).alias("key"))
+    led = meeting.withColumn("lead", F.first("own").over(Window.partitionBy("key").orderBy("own.first")))
     led = led.where((F.col("lead.cls") != F.col("own.cls")) & may_match("lead", "own", percent))
     settled = verified(led.select(F.col("lead.cls").alias("a"), F.col("own.cls").alias("b")))
 

@@ -263,8 +263,8 @@ def test_lines(docs, none, monkeypatch):
             if own:
                 seen.append(own)
     assert sum(n for (_, _, hit), n in want.items() if hit) > 20
-    for rarest, counters in ((3, 1 << 20), (1, 16), (0, 1 << 20)):
-        monkeypatch.setattr(lines, "RAREST", rarest)
+    for signed, counters in ((2, 1 << 20), (1, 16)):
+        monkeypatch.setattr(lines, "SIGNED", signed)
         monkeypatch.setattr(lines, "COUNTERS", counters)
         got = lines.later_lines(docs)
         assert collections.Counter((r["doc_id"], r["line_no"], r["removed"]) for r in got.collect()) == want
