@@ -71,3 +71,15 @@ def test_mixing_and_sharding_stages(steps):
     assert collections.Counter(pairs(before)) == collections.Counter(pairs(after))
     table = sharding.lookup_table(pipe.SHARDS, pipe.SLOTS)
     assert all(r["shard"] == pipe.SHARDS[table[r["slot"]]] for r in after.collect())
+
+
+def test_columns_of_any_name_and_empty_tables(spark):
+    """Columns that bear the names which stages make come back unchanged, and an empty table stays one."""
+    names = ["keep", "trained", "n_words", "items", "row", "copies", "copy", "rows", "first", "component_id", "cls", "key"]
+    rows = [(i, f"alpha beta {i} gamma delta epsilon zeta eta theta " * 3, "en", "s", 9, *[f"{c}{i}" for c in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    for name, stage in pipe.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in names), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
