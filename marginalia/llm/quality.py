@@ -112,9 +112,14 @@ class CoTrained:
     prior: float
     handed: tuple[int, int] = (0, 0)
 
+    @property
+    def trained(self) -> bool:
+        return self.text is not None and self.page is not None
+
     def score(self, t: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """NaN without a model."""
         if self.text is None or self.page is None:
-            return np.full(len(t), self.prior)
+            return np.full(len(t), np.nan)
         prior = np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(self.text.logit(t) + self.page.logit(p) - prior, -30, 30)))
 
@@ -129,8 +134,8 @@ def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, surest: Surest,
     """Fits both views on the labelled rows; in each round a view labels those unlabelled rows not yet given that it is surest of, for
     the other view. Every fifth labelled row is kept aside for calibration."""
     prior = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-    if len(y) < 20 or len(set(y.tolist())) < 2:
-        return CoTrained(None, None, prior if len(y) else 1.0 - 1e-3)
+    if len(set(y.tolist())) < 2:
+        return CoTrained(None, None, prior)
     aside = np.arange(len(y)) % 5 == 0
     views = {"text": text, "page": page}
     given: dict[str, dict] = {"text": {}, "page": {}}
@@ -141,7 +146,8 @@ def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, surest: Surest,
         x = np.concatenate([views[name][~aside], *[v[None] for _, v in more]])
         target = np.concatenate([y[~aside], np.array([label for label, _ in more], np.float64)])
         models[name] = Logistic(penalty).fit(x, target, np.concatenate([np.ones((~aside).sum()), np.full(len(more), 0.5)]))
-        models[name].calibrate(views[name][aside], y[aside])
+        # so few labels that a part lacks a class are all used twice
+        models[name].calibrate(*((views[name][aside], y[aside]) if len(set(y[aside].tolist())) == 2 else (views[name], y)))
 
     for name in views:
         fit(name)
@@ -233,12 +239,13 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", sam
 
 
 def score(docs: DataFrame, model: CoTrained, *, threshold: float = 0.5, with_text: bool = True) -> DataFrame:
-    """Adds quality_score and keep to every document, from its whole text and columns; a narrow pass without a shuffle.
+    """Adds quality_score, keep and trained to every document, from its whole text and columns; a narrow pass without a shuffle.
 
     Null text, language, source or length count as empty, as a value of their own, or as missing; repeated rows score alike; an empty
-    table gives no rows; an untrained model (no labels of both classes) keeps everything; columns of the two names are replaced."""
+    table gives no rows; without labels of both classes there is no model: trained is false, the score null, and everything is kept;
+    columns of the three names are replaced."""
     bounded_batches(docs.sparkSession)
-    docs = docs.drop("quality_score", "keep")
+    docs = docs.drop("quality_score", "keep", "trained")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if with_text or f.name != "text"]
     names = [f.name for f in kept]
@@ -246,6 +253,6 @@ def score(docs: DataFrame, model: CoTrained, *, threshold: float = 0.5, with_tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = shared.value.score(*_views(batch)) if batch.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(s, pa.float64()), pa.array(s >= threshold)], [*names, "quality_score", "keep"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(s, pa.float64(), mask=np.isnan(s)), pa.array(np.isnan(s) | (s >= threshold)), pa.array(np.full(len(s), shared.value.trained))], [*names, "quality_score", "keep", "trained"])
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("quality_score", T.DoubleType()), T.StructField("keep", T.BooleanType())]))
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("quality_score", T.DoubleType()), T.StructField("keep", T.BooleanType()), T.StructField("trained", T.BooleanType())]))
