@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def publish(df: DataFrame, path: str, **options: str) -> None:
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(target):
         raise FileExistsError(path)
-    staged = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.staged")
-    df.write.mode("overwrite").options(**options).parquet(staged.toString())
+    staged = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}.staged")  # each writer has its own
+    df.write.options(**options).parquet(staged.toString())
     if not fs.rename(staged, target):
         raise FileExistsError(path)

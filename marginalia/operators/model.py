@@ -104,7 +104,7 @@ def frontmatter_block(title: Column, created: Column, updated: Column, tags: Col
     return F.concat(F.lit("---\n"), F.concat_ws("\n", line("title", title), line("created", created), line("updated", updated), listed), F.lit("\n---\n"))
 
 
-def dependency_closure(items: DataFrame, selected: DataFrame, *, checkpoint: bool = False) -> DataFrame:
+def dependency_closure(items: DataFrame, selected: DataFrame) -> DataFrame:
     """Items that a selection of ids needs. Items refer to the ids in their properties, but not back to what owns them; relations come
     with their owner, the first of note_id, item_id, parent_id and resource_id that they have."""
     from .graph import reachable
@@ -117,5 +117,5 @@ def dependency_closure(items: DataFrame, selected: DataFrame, *, checkpoint: boo
     owners = refs.where(~F.col("primary")).withColumn("rank", rank).where("rank > 0")
     first = owners.groupBy(F.col("id").alias("_id")).agg(F.min("rank").alias("_rank"))
     owned = owners.join(first, (F.col("id") == F.col("_id")) & (F.col("rank") == F.col("_rank"))).select(F.col("ref").alias("src"), F.col("id").alias("dst"))
-    needed = reachable(selected.select(F.lower("id").alias("id")), out.unionByName(owned).distinct(), checkpoint=checkpoint)
+    needed = reachable(selected.select(F.lower("id").alias("id")), out.unionByName(owned).distinct())
     return items.join(needed.withColumnRenamed("id", "_need"), F.lower("id") == F.col("_need"), "left_semi")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime
 from functools import reduce
 from typing import Any
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +40,14 @@ def index(corpus: DataFrame) -> DataFrame:
     out = corpus
     for f in FIELDS:
         out = out.withColumn(f"{f}_tokens", tokens(text(f)))
-    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)
+    tags = F.array_compact(F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower))  # a null tag would make NOT null
     emoji = emoji_symbols(F.concat_ws(" ", *[text(f) for f in FIELDS]))
     return out.withColumn("tag_terms", tags).withColumn("emoji", emoji).withColumn("at", F.try_to_timestamp("date"))
 
 
-def _utf16_python_tokens(text: str) -> list[str]:
-    return [m.group().strip() for m in re.finditer(r"[^\W]+(?:[.'’][^\W]+)*", text.lower())]
+def query_tokens(text: str) -> list[str]:
+    """The tokens of a request, by the pattern that the index uses."""
+    return regex.findall(TOKEN, text.lower())
 
 
 def emoji_of(text: str) -> list[str]:
@@ -61,44 +63,64 @@ def is_emoji_term(text: str) -> bool:
     return bool(emoji_of(text)) and all(ord(c) >= EMOJI_FROM and unicodedata.category(c) == "So" for c in rest)
 
 
-def validate(node: Any, depth: int = 0) -> None:
-    if not isinstance(node, Mapping):
-        raise BadQuery("expr: empty node")
-    if depth > MAX_DEPTH:
-        raise BadQuery(f"expr: nested deeper than {MAX_DEPTH}")
-    kind, value = node.get("type"), node.get("value")
-    if kind in ("and", "or"):
-        if not node.get("nodes"):
-            raise BadQuery(f"expr: {kind} with no operands")
-        for child in node["nodes"]:
-            validate(child, depth + 1)
-    elif kind == "not":
-        validate(node.get("node"), depth + 1)
-    elif kind in ("term", "phrase"):
-        if not value:
-            raise BadQuery(f"expr: {kind} with no value")
-    elif kind == "field":
-        if node.get("field") not in ("category", "tag", "since", "until"):
-            raise BadQuery(f"expr: unknown field {node.get('field')!r}")
-        if not value:
-            raise BadQuery("expr: field with no value")
-        if node["field"] in ("since", "until"):
-            day(value, node["field"])
-    else:
-        raise BadQuery(f"expr: unknown node type {kind!r}")
+#: The node types of a request and what each must hold; the fields that can be asked for, and those of them that are days.
+NODE_PARTS = {"and": "nodes", "or": "nodes", "not": "node", "term": "value", "phrase": "value", "field": "value"}
+ASKED_FIELDS, DAY_FIELDS = ("category", "tag", "since", "until"), ("since", "until")
+#: The messages.
+EMPTY, DEEP, NO_OPERANDS, NO_VALUE, BAD_FIELD, BAD_TYPE = (
+    "expr: empty node", f"expr: nested deeper than {MAX_DEPTH}", "expr: {0} with no operands", "expr: {0} with no value", "expr: unknown field {0!r}", "expr: unknown node type {0!r}",
+)
+
+
+def faults(node: Any) -> Iterator[str]:
+    """What is wrong with a tree, from the top down."""
+    todo: list[tuple[Any, int]] = [(node, 0)]
+    while todo:
+        here, depth = todo.pop()
+        kind = here.get("type") if isinstance(here, Mapping) else None
+        part = NODE_PARTS.get(kind) if isinstance(kind, str) else None
+        held = here.get(part) if part else None
+        if not isinstance(here, Mapping):
+            yield EMPTY
+        elif depth > MAX_DEPTH:
+            yield DEEP
+        elif part is None:
+            yield BAD_TYPE.format(kind)
+        elif kind == "field" and here.get("field") not in ASKED_FIELDS:
+            yield BAD_FIELD.format(here.get("field"))
+        elif part == "node":
+            todo.append((held, depth + 1))
+        elif not held:
+            yield (NO_OPERANDS if part == "nodes" else NO_VALUE).format(kind)
+        elif part == "nodes":
+            todo += [(child, depth + 1) for child in reversed(held)]
+
+
+def days_of(node: Mapping[str, Any]) -> Iterator[tuple[str, str]]:
+    """The days that a sound tree names, with their fields."""
+    if node.get("field") in DAY_FIELDS and node["type"] == "field":
+        yield node["value"], node["field"]
+    for child in [*node.get("nodes", ()), *([node["node"]] if node["type"] == "not" else [])]:
+        yield from days_of(child)
+
+
+def validate(node: Any) -> None:
+    if fault := next(faults(node), None):
+        raise BadQuery(fault)
+    for text, name in days_of(node):
+        day(text, name)
 
 
 def parse(raw: str) -> dict | None:
     """The tree of a JSON request; None if it is blank."""
-    if not raw.strip():
-        return None
     if len(raw.encode()) > MAX_BYTES:
         raise BadQuery(f"expr: larger than {MAX_BYTES} bytes")
     try:
-        node = json.loads(raw)
-    except ValueError:
-        raise BadQuery("expr: not valid JSON") from None
-    validate(node)
+        node = json.loads(raw) if raw.strip() else None
+    except ValueError as fault:
+        raise BadQuery("expr: not valid JSON") from fault
+    if raw.strip():
+        validate(node)
     return node
 
 
@@ -121,7 +143,7 @@ def _all(tests: Sequence[Column]) -> Column:
 
 def words_match(value: str, fields: Sequence[str] = FIELDS) -> Column:
     """All words in one of the fields; words without a token match nothing."""
-    own = list(dict.fromkeys(_utf16_python_tokens(value)))
+    own = list(dict.fromkeys(query_tokens(value)))
     if not own:
         return F.lit(False)
     return _any([_all([F.array_contains(f"{f}_tokens", w) for w in own]) for f in fields])
@@ -129,7 +151,7 @@ def words_match(value: str, fields: Sequence[str] = FIELDS) -> Column:
 
 def phrase_match(value: str, fields: Sequence[str] = FIELDS) -> Column:
     """The words in a row in one of the fields."""
-    own = _utf16_python_tokens(value)
+    own = query_tokens(value)
     if not own:
         return F.lit(False)
     text = lambda f: F.concat(F.lit(" "), F.array_join(f"{f}_tokens", " "), F.lit(" "))
@@ -224,7 +246,7 @@ def predicate(r: Request) -> Column:
 
 def score(r: Request) -> Column:
     """Best effort: the weights of the fields that hold each word, summed."""
-    own = [t for w in r.terms.split() if not is_emoji_term(w) for t in _utf16_python_tokens(w)]
+    own = [t for w in r.terms.split() if not is_emoji_term(w) for t in query_tokens(w)]
     parts = [F.array_contains(f"{f}_tokens", w).cast("int") * WEIGHTS[f] for f in FIELDS for w in own]
     return reduce(lambda a, b: a + b, parts) if parts else F.lit(0)
 

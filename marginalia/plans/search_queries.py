@@ -33,20 +33,28 @@ def search_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir, term("This"))
 
 
-@REG(f"SELECT id FROM {_BASE} WHERE contains(' ' || array_to_string(body, ' ') || ' ', ' of the ')")
+def _has(word: str) -> str:
+    """A term may stand in any field."""
+    return f"(list_contains(body, '{word}') OR list_contains(title, '{word}'))"
+
+
+def _says(words: str) -> str:
+    return "(" + " OR ".join(f"contains(' ' || array_to_string({f}, ' ') || ' ', ' {words} ')" for f in ("body", "title")) + ")"
+
+
+@REG(f"SELECT id FROM {_BASE} WHERE {_says('of the')}")
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir, {"type": "phrase", "value": "of The"})
 
 
-@REG(f"""SELECT id FROM {_BASE} WHERE (list_contains(body, 'this') OR list_contains(body, 'que')) AND list_contains(body, 'de') AND NOT list_contains(body, 'las')
-         AND NOT (contains(' ' || array_to_string(body, ' ') || ' ', ' de la ') AND lang = 'fr')""")
+@REG(f"""SELECT id FROM {_BASE} WHERE ({_has('this')} OR {_has('que')}) AND {_has('de')} AND NOT {_has('las')} AND NOT ({_says('de la')} AND lang = 'fr')""")
 def search_bool_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     no = lambda n: {"type": "not", "node": n}
     both = {"type": "and", "nodes": [{"type": "phrase", "value": "de la"}, {"type": "field", "field": "tag", "value": "fr"}]}
     return found(spark, sf_dir, {"type": "and", "nodes": [{"type": "or", "nodes": [term("this"), term("que")]}, term("de"), no(term("las")), no(both)]})
 
 
-@REG(f"SELECT id FROM {_BASE} WHERE list_contains(body, 'thing') OR NOT (list_contains(body, 'the') OR list_contains(title, 'the'))")
+@REG(f"SELECT id FROM {_BASE} WHERE {_has('thing')} OR NOT {_has('the')}")
 def search_not(spark: SparkSession, sf_dir: str) -> DataFrame:
     """a OR -b: all without b, and a."""
     return found(spark, sf_dir, {"type": "or", "nodes": [term("thing"), {"type": "not", "node": term("the")}]})

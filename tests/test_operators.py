@@ -331,3 +331,51 @@ def test_search_pages(table):
         search.validate(deep)
     tree = {"type": "and", "nodes": [{"type": "or", "nodes": [T("a"), T("b c")]}, N({"type": "phrase", "value": "x y"}), {"type": "field", "field": "tag", "value": "t"}]}
     assert search.echo(tree) == '(a OR "b c") -"x y" tag:t'
+
+
+def sequential_names(rows):
+    """Each row's name in turn, as unique_names states it."""
+    used, out = set(), {}
+    for i, d, name in rows:
+        made, k = name, 2
+        while (d, made.lower()) in used:
+            made, k = f"{name} {k}", k + 1
+        used.add((d, made.lower()))
+        out[i] = made
+    return out
+
+
+def test_unique_names_are_unique(spark):
+    names = ["a", "A", "a 2", "a", "b", "B 2", "b", "a 2", "2024", "2024", "", "a 2 2", "c 7", "c 7", "x" * 60, "X" * 60, "x" * 60 + " 2", "d"]
+    rows = [(i, "k" if i % 7 else "m", n) for i, n in enumerate(names * 3)]
+    items = spark.createDataFrame(rows, "i long, d string, n string").repartition(5)
+    got = relational.unique_names(items, directory=["d"], name="n", order=["i"]).collect()
+    assert {r["i"]: r["unique_name"] for r in got} == sequential_names(rows) and len(got) == len(rows)
+    long = spark.createDataFrame([(i, "d", "é" * 130) for i in range(3)], "i long, d string, n string")
+    made = [r["unique_name"] for r in relational.unique_names(long, directory=["d"], name="n", order=["i"]).orderBy("i").collect()]
+    assert made == ["é" * 120, "é" * 119 + " 2", "é" * 119 + " 3"]
+
+
+def test_folder_paths_on_cycles_selections_and_equal_names(spark):
+    tree = spark.createDataFrame([(1, 2, "x"), (2, 1, "y"), (3, 2, "z"), (5, None, "r"), (6, 5, "s"), (7, 5, "S"), (8, 7, "t"), (0, 6, "u"), (20, 21, "p"), (21, 22, "q"), (22, 21, "w")], "id long, parent_id long, name string")
+    paths = {r["id"]: (r["path"], r["depth"]) for r in graph.folder_paths(tree).collect()}
+    assert paths == {2: ("y", 1), 1: ("y/x", 2), 3: ("y/z", 2), 5: ("r", 1), 6: ("r/s", 2), 7: ("r/S 2", 2), 8: ("r/S 2/t", 3), 0: ("r/s/u", 3), 22: ("w", 1), 21: ("w/q", 2), 20: ("w/q/p", 3)}
+    some = spark.createDataFrame([(7,), (8,), (6,)], "id long")
+    assert {r["id"]: r["path"] for r in graph.folder_paths(tree, selected=some).collect()} == {6: "s", 7: "S 2", 8: "S 2/t"}
+
+
+def test_null_tags_and_combining_marks(spark):
+    rows = [(1, "caf\u00e9", ["fr", None]), (2, "cafe\u0301 noir", [None]), (3, "tea", None)]
+    corpus = spark.createDataFrame(rows, "id long, body string, tags array<string>").selectExpr("id", "'' url", "'' title", "cast(null as string) date", "body", "'' summary", "'' category", "tags", "1 readingTime")
+    ids = lambda node: {r["id"] for r in search.hits(search.index(corpus), search.Request(expr=node)).collect()}
+    tag = {"type": "field", "field": "tag", "value": "fr"}
+    assert ids(tag) == {1} and ids({"type": "not", "node": tag}) == {2, 3}
+    assert ids({"type": "term", "value": "cafe\u0301"}) == {2} and ids({"type": "term", "value": "caf\u00e9"}) == {1}
+
+
+def test_faults_of_a_tree():
+    good = {"type": "not", "node": {"type": "field", "field": "since", "value": "2024-01-31"}}
+    search.validate({"type": "and", "nodes": [good, {"type": "term", "value": "x"}]})
+    for node, said in ((None, "empty"), ({"type": "not"}, "empty"), ({"type": "and", "nodes": []}, "no operands"), ({"type": "term"}, "no value"), ({"type": "field", "field": "x", "value": "y"}, "unknown field"), ({"type": "?"}, "unknown node"), ({"type": "not", "node": {"type": "field", "field": "until", "value": "2024-02-30"}}, "YYYY-MM-DD")):
+        with pytest.raises(search.BadQuery, match=said):
+            search.validate(node)

@@ -9,7 +9,7 @@ import pytest
 
 from marginalia.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -20,16 +20,17 @@ def plain(v: object) -> object:
 
 
 @pytest.fixture(scope="module")
-def duck() -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    return con
+def ducks() -> dict[str, duckdb.DuckDBPyConnection]:
+    cons = {sf: duckdb.connect() for sf in (SF, LARGER)}
+    for sf, con in cons.items():
+        for t in TABLES:
+            con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    return cons
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
-def test_query(name, spark, duck):
-    df = catalog.QUERIES[name](spark, SF)
+@pytest.mark.parametrize(("name", "sf"), [*((n, SF) for n in sorted(catalog.QUERIES)), *((n, LARGER) for n in sorted(catalog.QUERIES) if n.startswith("search_"))])
+def test_query(name, sf, spark, ducks):
+    duck, df = ducks[sf], catalog.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     own = sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=repr)
     assert own, "an empty result proves nothing"

@@ -41,7 +41,7 @@ def test_cycles_of_all_parts(spark, tmp_path):
             at = up[at]
         want |= {(k, "cycle")} if at in seen else set()
     assert {k % 7 for k, _ in want if k < 60} == {*range(7)}
-    assert {tuple(r) for r in catalog.QUERIES["cycle_depth_check_all"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in catalog.QUERIES["cycle_depth_check"](spark, str(tmp_path)).collect()} == want
 
 
 def test_closure_of_all_orders(spark, tmp_path):
@@ -55,5 +55,5 @@ def test_closure_of_all_orders(spark, tmp_path):
     while fresh:
         want |= fresh
         fresh = {b for a, b in to if a in fresh} - want
-    got = [r[0] for r in catalog.QUERIES["reachable_closure_all"](spark, str(tmp_path)).collect()]
+    got = [r[0] for r in catalog.QUERIES["reachable_closure"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and "o89" in want
