@@ -13,10 +13,10 @@ from .common import bounded_batches, written
 
 #: Vectors in one packed block of candidates and of queries; candidate blocks that one task searches one after another.
 CANDIDATES, QUERIES, BLOCKS_PER_GROUP = 4096, 1024, 16
-#: How deep the sorted lists are read before the bounds are looked at, as fractions of a block.
-DEPTHS = (0.25, 0.5, 0.7, 0.85, 1.0)
-#: A query with so many undecided candidates or fewer is resolved instead of read on.
-FEW = 48
+#: How deep the sorted lists have been read when the bounds are looked at, as fractions of a block.
+DEPTHS = (0.0625, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0)
+#: Reading stops once no more candidates than so many times k can qualify; these are resolved.
+FEW = 4
 PACK = "n int, dim int, ids binary, values binary"
 FOUND = "query_id long, vec_id long, score long"
 
@@ -63,23 +63,41 @@ def packed(vectors: DataFrame, size: int, name: str) -> DataFrame:
 
 
 class Lists:
-    """One sorted list per component over a block of candidates."""
+    """One sorted list per component over a block of candidates, read from the top or from the bottom, entry after entry."""
 
     def __init__(self, values: np.ndarray) -> None:
-        self.values, self.sorted = values.astype(np.float64), np.sort(values, 0).astype(np.float64)
-
-    def bounds(self, depth: int, positive: np.ndarray, negative: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bound of the score of each query and candidate once each list has been read down to `depth`.
-
-        A query reads a component's list from the top where its own component is positive, from the bottom where it is negative.
-        A value that hasn't been seen is no better than the last one read, and no worse than the other end of the list."""
-        n, x = len(self.values), self.values
-        top, bottom = self.sorted[n - depth], self.sorted[depth - 1]
-        least, most = self.sorted[0], self.sorted[-1]
-        upper = positive @ np.maximum(x, top).T + negative @ np.minimum(x, bottom).T
-        if depth == n:
-            return upper, upper
-        return positive @ np.where(x >= top, x, least).T + negative @ np.where(x <= bottom, x, most).T, upper
+        self.n, self.dim = values.shape
+        self.order = np.ascontiguousarray(np.argsort(values, 0, kind="stable").T)
+        self.values = np.take_along_axis(values.T, self.order, 1).astype(np.float64)
+
+    def read(self, query: np.ndarray, own: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, int]:
+        """Places of the candidates that can be among the query's k best, and how many entries were read to tell.
+
+        A list is read from its top where the query's component is positive, from its bottom where it is negative, and not at all where
+        it is 0: the product falls from entry to entry. A candidate's score lies between what its entries read so far add up to, with
+        the list's last product for each entry not seen, and the same with the last product read. Reading stops when all but a few have
+        an upper bound below the k-th lower bound or below `floor`."""
+        lists = np.flatnonzero(query)
+        q, n = query[lists, None].astype(np.float64), self.n
+        up = q[:, 0] > 0
+        ids, product = self.order[lists], q * self.values[lists]
+        ids[up], product[up] = ids[up, ::-1], product[up, ::-1]
+        sums, unseen = np.zeros(n), np.ones((n, len(lists)))
+        rows = np.broadcast_to(np.arange(len(lists))[:, None], ids.shape)
+        least = product[:, -1]
+        at = depth = 0
+        for part in DEPTHS:
+            at, depth = depth, max(1, round(part * n))
+            seen = ids[:, at:depth]
+            sums += np.bincount(seen.ravel(), product[:, at:depth].ravel(), n)
+            unseen[seen, rows[:, at:depth]] = 0
+            upper, lower = sums + unseen @ product[:, depth - 1], sums + unseen @ least
+            lower[own], upper[own] = -np.inf, -np.inf
+            kth = np.partition(lower, n - k)[n - k] if n > k else -np.inf
+            may = np.flatnonzero((upper >= max(kth, floor)) & ~own)
+            if len(may) <= FEW * k:
+                break
+        return may, depth * len(lists)
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,21 +110,11 @@ def search(queries: np.ndarray, query_ids: np.ndarray, blocks: Iterator[tuple[np
         exact = float(np.abs(values).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(dim, 1) < 2**53
         n = len(values)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        if exact and dim:
-            lists, left = Lists(values), np.arange(len(q))
-            positive, negative = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
-            for part in DEPTHS:
-                lower, upper = lists.bounds(max(1, round(part * n)), positive[left], negative[left])
-                own = query_ids[left][:, None] == ids[None, :]
-                lower[own], upper[own] = -np.inf, -np.inf
-                kth = np.partition(lower, n - k, 1)[:, n - k] if n >= k else np.full(len(left), -np.inf)
-                may = (upper >= np.maximum(kth, floor[left])[:, None]) & ~own
-                done = (may.sum(1) <= FEW) | (part == DEPTHS[-1])
-                a, b = np.nonzero(may & done[:, None])
-                pairs.append((left[a], b))
-                left = left[~done]
-                if not len(left):
-                    break
+        if exact and dim and n:
+            lists = Lists(values)
+            for i, (own, least) in enumerate(zip(query_ids.tolist(), floor.tolist(), strict=True)):
+                may, _ = lists.read(q[i], ids == own, least, k)
+                pairs.append((np.full(len(may), i), may))
         else:  # components too large for exact doubles, or none: every candidate is resolved
             a, b = np.nonzero(query_ids[:, None] != ids[None, :])
             pairs.append((a, b))
@@ -135,9 +143,9 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256,
     """The k highest integer inner products of each query with all other rows: query_id, rank, vec_id, score; ties to the smaller id.
 
     Queries and candidates are packed into blocks of bounded size. Every block of queries meets every group of candidate blocks in a
-    task of its own, which searches block after block: it reads each component's sorted list down to a depth, holds a lower and an
-    upper bound for every candidate, and stops for a query once the candidates that may still reach its k-th best lower bound, or the
-    k-th best score of the blocks before, are few; these are then resolved exactly. So a task's memory doesn't grow with the data,
+    task of its own, which searches block after block: for a query it reads the components' sorted lists in step, entry after entry, adds
+    up what it has seen of each candidate, holds a lower and an upper bound for every one, and stops once few can still reach its k-th
+    best lower bound, or the k-th best score of the blocks before; these are then resolved exactly. So a task's memory doesn't grow with the data,
     equal or frequent vectors cost what others do, and each group hands on at most k rows per query.
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id; shorter vectors count as
