@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +22,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32_DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 #: Longest block of a record and of a chunk in it, in bytes; records in one archive file.
-SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 32 << 10, 8 << 10, 20_000
+#: (A file holds some 64 MB at most.)
+SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 32 << 10, 8 << 10, 2_000
 
 RECORD = "record_id string, record_type string, page_id long, refers_to_id string, digest string, payload_length long, segment int, origin_id string, total_length long, block binary"
 PAGE = "record_id string, page_id long, record_type string, refers_to_id string, refers_to long, payload_bytes long, payload_digest string"
@@ -58,7 +61,8 @@ def records(pages: DataFrame, segment_bytes: int, chunk_bytes: int) -> DataFrame
     n, payload = F.col("bytes"), F.col("payload")
     starts = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1, F.lit(chunk_bytes).cast("long"))).otherwise(F.expr("array(0L)"))
     chunk = lambda at: _bytes(F.lower(F.hex(F.least(n - at, F.lit(chunk_bytes).cast("long")))), F.lit(CRLF), F.substring(payload, (at + 1).cast("int"), F.lit(chunk_bytes)), F.lit(CRLF))
-    body = F.when(n > 0, F.concat(_bytes(F.lit("")), F.aggregate(F.transform(starts, chunk), F.lit(b""), lambda a, x: F.concat(a, x)))).otherwise(F.lit(b""))
+    # joined as text, which casts leave byte for byte as they are: all chunks at once, not one after another to a growing body
+    body = F.when(n > 0, F.array_join(F.transform(starts, lambda at: chunk(at).cast("string")), "")).otherwise(F.lit("")).cast("binary")
     block = F.when(F.col("original").isNull(), _bytes(http, body, F.lit("0\r\n\r\n"))).otherwise(_bytes(http))
     pages = pages.withColumn("block", block).withColumn("block_bytes", F.length("block").cast("long"))
     cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("block_bytes") - 1, F.lit(0)), F.lit(segment_bytes).cast("long"))
@@ -91,19 +95,25 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, segment_b
     out.select(F.col("value").cast("string")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields, by lower-case name, and block of each record. Content-Length alone says where a block ends."""
-    at, n = 0, len(data)
-    while at < n:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = dict((k.strip().lower(), v.strip()) for k, _, v in (line.partition(":") for line in data[at:end].decode("utf-8", "replace").split(CRLF)[1:]))
-        start, length = end + 4, int(fields["content-length"])
-        if data[start + length : start + length + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} is cut or longer than it says")
-        yield fields, data[start : start + length]
-        at = start + length + 4
+def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields, by lower-case name, and block of each record, one after another. Content-Length alone says where a block ends."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record before byte {stream.tell()}")
+        fields: dict[str, str] = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        length = int(fields["content-length"])
+        block = stream.read(length)
+        if len(block) < length or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"the record that ends at byte {stream.tell()} is cut or longer than it says")
+        yield fields, block
+
+
+def opened(content: bytes) -> BinaryIO:
+    """An archive's bytes as a stream, unpacked while it is read where they are gzip, whatever its number of members."""
+    return gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
 
 
 def dechunk(data: bytes) -> bytes:
@@ -133,9 +143,8 @@ def _uuid(x: str | None) -> str | None:
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for content in batch["content"]:
-            data, rows, held = bytes(content), [], 0
-            data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-            for f, block in parse_records(data):
+            rows, held = [], 0
+            for f, block in parse_records(opened(bytes(content))):
                 number = int(f["warc-segment-number"]) if "warc-segment-number" in f else None
                 page = f.get("x-page-id", "-")
                 digest, length, own = f.get("warc-payload-digest", "").removeprefix("sha1:") or None, f.get("x-payload-length"), _uuid(f["warc-record-id"])

@@ -110,13 +110,20 @@ def test_warc_round_trip(spark, segment):
     assert collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
 
 
+def test_warc_long_pages(spark):
+    """Ten megabytes of one page: framing is linear in it, and segments come together again."""
+    page = "<p>long</p>" * 1_000_000
+    got = warc.archive_round_trip(spark.createDataFrame([(1, "u", page, "x")], "page_id long, url string, html string, block string")).collect()
+    assert [(r["payload_bytes"], r["payload_digest"]) for r in got] == [(len(page), base64.b32encode(hashlib.sha1(page.encode()).digest()).decode())]
+
+
 def test_warc_empty_and_faults(spark, tmp_path):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert warc.dechunk(b"3;x=y\r\nabc\r\n2\r\nde\r\n0\r\nT: v\r\n\r\n") == b"abcde"
     with pytest.raises(ValueError, match="cut"):
         warc.dechunk(b"5\r\nabc\r\n0\r\n\r\n")
     with pytest.raises(ValueError, match="longer"):
-        list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n"))
+        list(warc.parse_records(warc.opened(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n")))
     pages = spark.createDataFrame([(1, "u", bytearray(b"x" * 300))], "page_id long, url string, payload binary")
     warc.write_archives(pages, str(tmp_path / "w"), segment_bytes=100, compression="none")
     file = next(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-"))
@@ -150,14 +157,24 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.where("vec_id = 50"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_bounds_hold():
+def test_lists_are_read_in_part():
+    """What is left out can't qualify; lists of uneven components are not read to their end, and those of zeros not at all."""
     rng = np.random.default_rng(2)
-    x, q = rng.integers(-100, 100, (50, 6)), rng.integers(-100, 100, (9, 6)).astype(float)
-    own, exact = topk.Lists(x), q @ x.T
-    for depth in (1, 7, 30, 50):
-        low, high = own.bounds(depth, np.maximum(q, 0), np.minimum(q, 0))
-        assert (low <= exact).all() and (exact <= high).all()
-    assert (high == exact).all()
+    x = np.floor(256 * rng.normal(size=(600, 16)) * 0.6 ** np.arange(16)).astype(np.int64)
+    lists, read = topk.Lists(x), []
+    for i in range(40):
+        q = x[i].copy()
+        q[i % 3 :: 4] = 0
+        own = np.arange(600) == i
+        may, n = lists.read(q, own, -np.inf, 5)
+        score = x @ q
+        best = sorted((-s, j) for j, s in enumerate(score.tolist()) if j != i)[:5]
+        assert {j for _, j in best} <= set(may.tolist()) and i not in may
+        assert set(np.flatnonzero((score > -best[0][0] - 1) & ~own).tolist()) <= set(lists.read(q, own, float(-best[0][0]), 5)[0].tolist())
+        assert n <= 600 * np.count_nonzero(q)
+        read.append(n / (600 * 16))
+    assert np.mean(read) < 0.6 and min(read) < 0.5
+    assert len(lists.read(np.zeros(16, np.int64), np.zeros(600, bool), -np.inf, 5)[0]) == 600
 
 
 # 4
