@@ -128,11 +128,11 @@ def import_classify_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.classify(orders, stored, key="o_orderkey", digest="digest", any_of=True).select("o_orderkey", "outcome")
 
 
-@REG("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+@REG("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def import_new_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers come in twice; those with dear orders are stored."""
+    """Customers come in twice; those whose numbers are suppliers' too are stored."""
     own = table(spark, sf_dir, "customer").select("c_custkey", hexed("c", "c_custkey").alias("digest"))
-    stored = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"), hexed("c", "o_custkey").alias("digest")).distinct()
+    stored = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), hexed("c", "s_suppkey").alias("digest"))
     return ingest.new_items(own.union(own), stored, key="c_custkey", digest="digest", order=["digest"]).select("c_custkey")
 
 
