@@ -379,3 +379,26 @@ def test_faults_of_a_tree():
     for node, said in ((None, "empty"), ({"type": "not"}, "empty"), ({"type": "and", "nodes": []}, "no operands"), ({"type": "term"}, "no value"), ({"type": "field", "field": "x", "value": "y"}, "unknown field"), ({"type": "?"}, "unknown node"), ({"type": "not", "node": {"type": "field", "field": "until", "value": "2024-02-30"}}, "YYYY-MM-DD")):
         with pytest.raises(search.BadQuery, match=said):
             search.validate(node)
+
+
+def test_checks_of_files_and_time(spark, tmp_path):
+    import time
+
+    from marginalia.operators import checks
+
+    (tmp_path / "a.md").write_text("x")
+    first = checks.freshness(spark, str(tmp_path)).first()
+    assert first["files"] == 1 and checks.freshness(spark, str(tmp_path)).first() == first
+    (tmp_path / "b.md").write_text("y")
+    assert checks.freshness(spark, str(tmp_path)).first()["stamp"] != first["stamp"]
+    assert checks.within(spark, "count", 60, spark.range(10).count) == 10
+    began = time.time()
+    slow = spark.range(8).repartition(4).selectExpr("id", "java_method('java.lang.Thread', 'sleep', cast(20000 as bigint))")
+    with pytest.raises(Exception, match="(?i)cancel"):
+        checks.within(spark, "slow", 2, slow.collect)
+    assert time.time() - began < 20
+    rows = spark.createDataFrame([(1, "A/x.md"), (2, "a/X.md"), (3, "a/X.md"), (4, "b"), (5, "B")], "i long, path string")
+    got = [r["output_path"] for r in checks.output_paths(rows, path="path", order=["i"]).orderBy("i").collect()]
+    assert got[0] == "A/x.md" and got[1].startswith("a/X-") and got[2] == got[1].replace(".md", "-2.md") and got[3] == "b" and got[4].startswith("B-") and len({g.lower() for g in got}) == 5
+    kept = spark.createDataFrame([("k", 1, b"x")], "kind string, id long, raw binary")
+    assert checks.backfilled(kept, "raw", "digest").first()["digest"] == __import__("hashlib").sha256(b"x").digest() and checks.of_kind(kept, "k").count() == 1 and checks.of_kind(kept, "l").count() == 0
