@@ -16,7 +16,7 @@ SLOTS = 8191
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark), path_col="source")
     return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"))
 
 
