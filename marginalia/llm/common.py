@@ -38,6 +38,19 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, **options: str) -> DataFrame:
+    """Like written(), in buckets by key, as many as a shuffle has partitions: joins on key leave these rows where they are. The catalog
+    knows the table only while it is made; its files stay in the shared folder."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    table_name = "written_" + path.rpartition("-")[2]
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    df.write.format("parquet").options(**options).bucketBy(buckets, key).option("path", path).saveAsTable(table_name)
+    out = spark.table(table_name)
+    spark.sql(f"DROP TABLE {table_name}")
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the folder that written() made for df, once nothing reads it any more."""
     spark = df.sparkSession

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, release, written
+from .common import bucketed, discard, release, written
 
 #: Least similarity in percent; counters of the rarity sketch.
 PERCENT, COUNTERS = 80, 1 << 20
@@ -17,8 +17,6 @@ SIGNED = 2
 WHITE = r"[\x20\x09-\x0D]+"
 #: A token's number: its frequency level above so many bits of its hash.
 HASH_BITS = 57
-#: Stands for a null id where texts are looked up again.
-NO_ID = -(1 << 63)
 
 
 def _lines(text: Column) -> Column:
@@ -29,7 +27,7 @@ def rarity_levels(texts: DataFrame) -> DataFrame:
     """One row `levels`: for each of COUNTERS hash buckets, how many bits the number of the bucket's tokens has, over all lines. A sketch
     of the tokens' frequency of fixed size, a megabyte."""
     tokens = texts.select(F.explode(F.split(F.lower("text"), WHITE)).alias("t")).where("t <> ''")
-    counts = tokens.groupBy(_bucket(F.xxhash64("t")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = tokens.groupBy(_bucket(_hash(F.col("t"))).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select("b", F.length(F.bin("n")).cast("tinyint").alias("level")).toArrow()  # COUNTERS rows at most, whatever the number of lines
     levels = np.zeros(COUNTERS, np.int8)
     levels[counts.column("b").to_numpy()] = counts.column("level").to_numpy()
@@ -41,23 +39,31 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(COUNTERS - 1).cast("long")).cast("int")
 
 
-def with_ids(lines: DataFrame, levels: DataFrame, name: str) -> DataFrame:
-    """Adds the distinct tokens of the column `line` in order of rarity: the frequency level above HASH_BITS of hash, sorted as numbers.
-    The sketch comes as a scalar subquery, which the optimizer puts where its one reference is: it is no column of any row."""
-    one = lambda h: F.shiftleft(F.get("levels", _bucket(h)).cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
-    ids = F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("line", WHITE), ""), lambda t: one(F.xxhash64(t)))))
-    return lines.withColumn("levels", levels.scalar()).withColumn(name, ids).drop("levels", "line")
+def token_hashes(line: Column) -> Column:
+    """The distinct tokens of a line as numbers of HASH_BITS, in order."""
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, WHITE), ""), _hash)))
 
 
-def parity(ids: Column, shift: int) -> Column:
-    """64 parity bits of a set: two sets differ in as many members at least as their parities differ in bits."""
+def _hash(token: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(token), 64 - HASH_BITS)
+
+
+def by_rarity(sets: DataFrame, levels: DataFrame, name: str) -> DataFrame:
+    """Adds the members of the column `own` in order of rarity: the frequency level above HASH_BITS of hash, sorted as numbers. The sketch
+    comes as a scalar subquery, which the optimizer puts where its one reference is: it is no column of any row."""
+    ids = F.sort_array(F.transform("own", lambda h: F.shiftleft(F.get("levels", _bucket(h)).cast("long"), HASH_BITS).bitwiseOR(h)))
+    return sets.withColumn("levels", levels.scalar()).withColumn(name, ids).drop("levels")
+
+
+def parity(own: Column, shift: int) -> Column:
+    """64 parity bits of a set, from six bits of each member: two sets differ in as many members at least as their parities differ in bits."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, shift).bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    return F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
 
 
-def signatures(ids: Column) -> Column:
-    hashes = F.sort_array(F.transform(ids, lambda x: x.bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
-    return F.transform(F.array(hashes), lambda h: F.array(F.xxhash64(F.slice(h, 1, SIGNED)), F.xxhash64(F.reverse(F.slice(F.reverse(h), 1, SIGNED)), F.lit(1))))[0]
+def signatures(own: Column) -> Column:
+    """Of sorted token hashes."""
+    return F.array(F.xxhash64(F.slice(own, 1, SIGNED)), F.xxhash64(F.slice(F.reverse(own), 1, SIGNED), F.lit(1)))
 
 
 def least_overlap(n: Column, m: Column, percent: int) -> Column:
@@ -78,7 +84,8 @@ def later_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """row (a number for each document, row_col if given), doc_id, line_no (from 0), removed: of each line, whether an earlier line, by
     (id, line number), has a token set with a Jaccard similarity of percent / 100 at least.
 
-    1. Lines with equal token sets are one class, which stands at its first place; the others are removed.
+    1. Lines with equal token sets are one class, which stands at its first place; the others are removed. Classes and their lines lie in
+       buckets, so that no later step deals them again.
     2. Tokens are ordered by rarity and each class posts its rarest n - ceil(percent / 100 * n) + 1; similar classes share a posting. A
        token whose bucket of the sketch counts one is on one line alone and isn't posted.
     3. By the hashes of its SIGNED smallest and largest token hashes, and by its rarest posting, a class first meets the earliest class
@@ -93,15 +100,16 @@ def later_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     texts = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     levels = rarity_levels(texts.select("text"))
-    lines = texts.select("row", "doc_id", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
-    lines = with_ids(lines, levels, "ids")
+    release(docs.sparkSession)
+    lines = texts.select("row", "doc_id", F.posexplode(_lines(F.col("text"))).alias("line_no", "line")).withColumn("own", token_hashes(F.col("line")))
+    has = lambda c: F.when(F.size("own") > 0, c)
+    lines = written(lines.select("row", "doc_id", "line_no", has(F.xxhash64("own")).alias("cls"), has(F.col("line")).alias("line")), "line-rows", compression="zstd")
+    classes = lines.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.any_value("line").alias("line"))
+    classes = by_rarity(classes.withColumn("own", token_hashes(F.col("line"))), levels, "ids")
     n = F.size("ids")
     prefix = F.slice("ids", 1, n - F.call_function("div", percent * n + 99, F.lit(100)).cast("int") + 1)
-    has = lambda c: F.when(n > 0, c)
-    lines = lines.select("row", "doc_id", "line_no", has(F.xxhash64("ids")).alias("cls"), n.cast("long").alias("n"), parity(F.col("ids"), 0).alias("odd"), parity(F.col("ids"), 6).alias("even"), has(prefix).alias("prefix"), has(signatures(F.col("ids"))).alias("signs"))
-    lines = written(lines, "line-rows")
-    classes = lines.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), *[F.any_value(c).alias(c) for c in ("n", "odd", "even", "prefix", "signs")])
-    classes = written(classes, "line-classes")
+    classes = classes.select("cls", "first", "line", n.cast("long").alias("n"), parity(F.col("own"), 0).alias("odd"), parity(F.col("own"), 6).alias("even"), prefix.alias("prefix"), signatures(F.col("own")).alias("signs"))
+    classes = bucketed(classes, "line-classes", "cls", compression="zstd")
     places = written(lines.select("row", "doc_id", "line_no", "cls"), "line-places")
     discard(lines)
     release(docs.sparkSession)
@@ -112,20 +120,15 @@ def later_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of classes, each once, those that hold on the whole sets: the later class as cls."""
         pairs = written(pairs.distinct(), "line-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "first"), "cls")
-        wanted = wanted.groupBy(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("at")).agg(F.collect_set("first.line_no").alias("numbers"))
-        wanted = written(wanted, "line-wanted")
-        mine = F.filter(_lines(F.col("text")), lambda _, i: F.array_contains("numbers", i))
-        found = texts.withColumn("at", F.coalesce("doc_id", F.lit(NO_ID))).join(wanted, "at").select(F.explode(mine).alias("line"))
-        # rows that share an id give some lines that nobody asked for
-        found = with_ids(found, levels, "own").select(F.xxhash64("own").alias("cls"), "own")
-        sets = written(found.groupBy("cls").agg(F.any_value("own").alias("own")).join(classes.select("cls", "first"), "cls"), "line-sets")
-        side = lambda c: sets.select(F.col("cls").alias(c), F.col("own").alias(f"own_{c}"), F.col("first").alias(f"first_{c}"))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        sets = written(wanted.join(classes.select("cls", "first", "line"), "cls"), "line-sets")
+        side = lambda c: sets.select(F.col("cls").alias(c), F.col("line").alias(f"line_{c}"), F.col("first").alias(f"first_{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = both.select("a", "b", "first_a", "first_b", token_hashes(F.col("line_a")).alias("own_a"), token_hashes(F.col("line_b")).alias("own_b"))
         same = F.size(F.array_intersect("own_a", "own_b"))
         both = both.where(100 * same >= percent * (F.size("own_a") + F.size("own_b") - same))
         out = written(both.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("cls")).distinct(), "line-matches")
-        for used in (pairs, wanted, sets):
+        for used in (pairs, sets):
             discard(used)
         release(docs.sparkSession)
         return out
