@@ -69,6 +69,11 @@ class Lists:
         self.n, self.dim = values.shape
         self.order = np.ascontiguousarray(np.argsort(values, 0, kind="stable").T)
         self.values = np.take_along_axis(values.T, self.order, 1).astype(np.float64)
+        #: The place of each candidate in each list: what has been seen of it, told without marking entry by entry.
+        self.place = np.empty((self.dim, self.n), np.min_scalar_type(self.n))
+        np.put_along_axis(self.place, self.order, np.arange(self.n, dtype=self.place.dtype)[None, :], 1)
+        self.most = float(np.abs(self.values).max(initial=0))
+        self.first = 0  # of DEPTHS: where bounds are looked at first, a step before the depth that sufficed for the last query
 
     def read(self, query: np.ndarray, own: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, int]:
         """Places of the candidates that can be among the query's k best, and how many entries were read to tell.
@@ -77,27 +82,32 @@ class Lists:
         it is 0: the product falls from entry to entry. A candidate's score lies between what its entries read so far add up to, with
         the list's last product for each entry not seen, and the same with the last product read. Reading stops when all but a few have
         an upper bound below the k-th lower bound or below `floor`."""
-        lists = np.flatnonzero(query)
-        q, n = query[lists, None].astype(np.float64), self.n
-        up = q[:, 0] > 0
-        ids, product = self.order[lists], q * self.values[lists]
-        ids[up], product[up] = ids[up, ::-1], product[up, ::-1]
-        sums, unseen = np.zeros(n), np.ones((n, len(lists)))
-        rows = np.broadcast_to(np.arange(len(lists))[:, None], ids.shape)
-        least = product[:, -1]
+        q, n = query.astype(np.float64), self.n
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        least, last = np.zeros(self.dim), np.zeros(self.dim)
+        least[up], least[down] = q[up] * self.values[up, 0], q[down] * self.values[down, -1]
+        lower = np.full(n, least.sum())
+        # whole numbers, so exact in 32 bits where they are small
+        unseen = np.zeros((self.dim, n), np.float32 if 2 * self.most * np.abs(q).max(initial=0) * self.dim < 2**24 else np.float64)
         at = depth = 0
-        for part in DEPTHS:
-            at, depth = depth, max(1, round(part * n))
-            seen = ids[:, at:depth]
-            sums += np.bincount(seen.ravel(), product[:, at:depth].ravel(), n)
-            unseen[seen, rows[:, at:depth]] = 0
-            upper, lower = sums + unseen @ product[:, depth - 1], sums + unseen @ least
-            lower[own], upper[own] = -np.inf, -np.inf
-            kth = np.partition(lower, n - k)[n - k] if n > k else -np.inf
+        for look in range(self.first, len(DEPTHS)):
+            at, depth = depth, max(1, round(DEPTHS[look] * n))
+            if at == depth:
+                continue
+            for lists, part, end in ((up, slice(n - depth, n - at), 0), (down, slice(at, depth), -1)):
+                product = q[lists, None] * self.values[lists, part]
+                last[lists] = product[:, end]
+                product -= least[lists, None]
+                lower += np.bincount(self.order[lists, part].ravel(), product.ravel(), n)
+            unseen[up], unseen[down] = self.place[up] < n - depth, self.place[down] >= depth
+            upper = lower + (last - least).astype(unseen.dtype) @ unseen
+            known = np.where(own, -np.inf, lower)
+            kth = np.partition(known, n - k)[n - k] if n > k else -np.inf
             may = np.flatnonzero((upper >= max(kth, floor)) & ~own)
             if len(may) <= FEW * k:
                 break
-        return may, depth * len(lists)
+        self.first = max(look - 1, 0)
+        return may, depth * (len(up) + len(down))
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -198,6 +198,26 @@ def test_lists_are_read_in_part():
     assert len(lists.read(np.zeros(16, np.int64), np.zeros(600, bool), -np.inf, 5)[0]) == 600
 
 
+def test_bounds_are_looked_at_few_times(monkeypatch):
+    """A query begins where the last one had enough, whatever that was; small and large components, few and many candidates alike."""
+    rng, looks, partition = np.random.default_rng(3), [], np.partition
+    monkeypatch.setattr(topk.np, "partition", lambda *x: looks.append(1) or partition(*x))
+    for n, top in ((1, 300), (9, 300), (700, 300), (700, 10**6)):
+        x = rng.integers(-top, top, (n, 16))
+        x[n // 2 :, 5:] //= 50
+        lists = topk.Lists(x)
+        for i in range(30):
+            q = x[i % n] // (1 + 40 * (np.arange(16) > i % 5))
+            own = np.arange(n) == i % n
+            may, read = lists.read(q, own, -np.inf, 5)
+            best = sorted((-s, j) for j, s in enumerate((x @ q).tolist()) if j != i % n)[:5]
+            assert {j for _, j in best} <= set(may.tolist()) and i % n not in may and 0 < read <= n * np.count_nonzero(q)
+        looks.clear()
+        for _ in range(9):
+            lists.read(x[0], np.arange(n) == 0, -np.inf, 5)
+        assert len(looks) <= 9 + 2 * 9
+
+
 # 4
 
 
