@@ -41,18 +41,31 @@ def _bucket(h: Column) -> Column:
 
 def token_hashes(line: Column) -> Column:
     """The distinct tokens of a line as numbers of HASH_BITS, in order."""
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, WHITE), ""), _hash)))
+    return F.sort_array(F.array_distinct(_hashes(line)))
+
+
+def _hashes(line: Column) -> Column:
+    return F.transform(F.array_remove(F.split(line, WHITE), ""), _hash)
 
 
 def _hash(token: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(token), 64 - HASH_BITS)
 
 
-def by_rarity(sets: DataFrame, levels: DataFrame, name: str) -> DataFrame:
-    """Adds the members of the column `own` in order of rarity: the frequency level above HASH_BITS of hash, sorted as numbers. The sketch
-    comes as a scalar subquery, which the optimizer puts where its one reference is: it is no column of any row."""
-    ids = F.sort_array(F.transform("own", lambda h: F.shiftleft(F.get("levels", _bucket(h)).cast("long"), HASH_BITS).bitwiseOR(h)))
-    return sets.withColumn("levels", levels.scalar()).withColumn(name, ids).drop("levels")
+def by_rarity(sets: DataFrame, line: str, levels: DataFrame, name: str) -> DataFrame:
+    """Adds the distinct tokens of the column `line` in order of rarity: the frequency level above HASH_BITS of hash, sorted as numbers.
+    A null line has no row. The sketch comes as a scalar subquery; as a column it would be a megabyte copied into every row. It is none:
+    the optimizer puts it where it is the argument of a function around the one over tokens (not inside such a function), and the
+    filter keeps it out of an aggregate below."""
+    tokens = F.array_distinct(_hashes(F.col(line)))
+    levelled = lambda sketch: F.transform(tokens, lambda h: F.shiftleft(F.get(sketch, _bucket(h)).cast("long"), HASH_BITS).bitwiseOR(h))
+    sets = sets.where(F.col(line).isNotNull()).withColumn("levels", levels.scalar())
+    return sets.withColumn(name, F.sort_array(F.transform(F.array("levels"), levelled)[0])).drop("levels")
+
+
+def own_hashes(ids: Column) -> Column:
+    """token_hashes() of the line that by_rarity() gave these for."""
+    return F.sort_array(F.transform(ids, lambda x: x.bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
 
 
 def parity(own: Column, shift: int) -> Column:
@@ -105,12 +118,12 @@ def later_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     has = lambda c: F.when(F.size("own") > 0, c)
     lines = written(lines.select("row", "doc_id", "line_no", has(F.xxhash64("own")).alias("cls"), has(F.col("line")).alias("line")), "line-rows", compression="zstd")
     classes = lines.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.any_value("line").alias("line"))
-    classes = by_rarity(classes.withColumn("own", token_hashes(F.col("line"))), levels, "ids")
+    classes = by_rarity(classes, "line", levels, "ids").withColumn("own", own_hashes(F.col("ids")))
     n = F.size("ids")
     prefix = F.slice("ids", 1, n - F.call_function("div", percent * n + 99, F.lit(100)).cast("int") + 1)
-    classes = classes.select("cls", "first", "line", n.cast("long").alias("n"), parity(F.col("own"), 0).alias("odd"), parity(F.col("own"), 6).alias("even"), prefix.alias("prefix"), signatures(F.col("own")).alias("signs"))
+    classes = classes.select("cls", "first", "line", n.cast("long").alias("n"), parity(F.col("ids"), 0).alias("odd"), parity(F.col("ids"), 6).alias("even"), prefix.alias("prefix"), signatures(F.col("own")).alias("signs"))
     classes = bucketed(classes, "line-classes", "cls", compression="zstd")
-    places = written(lines.select("row", "doc_id", "line_no", "cls"), "line-places")
+    places = written(lines.select("row", "doc_id", "line_no", "cls"), "line-places", compression="zstd")
     discard(lines)
     release(docs.sparkSession)
 
@@ -121,7 +134,7 @@ def later_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         """Of pairs (a, b) of classes, each once, those that hold on the whole sets: the later class as cls."""
         pairs = written(pairs.distinct(), "line-pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        sets = written(wanted.join(classes.select("cls", "first", "line"), "cls"), "line-sets")
+        sets = written(wanted.join(classes.select("cls", "first", "line"), "cls"), "line-sets", compression="zstd")
         side = lambda c: sets.select(F.col("cls").alias(c), F.col("line").alias(f"line_{c}"), F.col("first").alias(f"first_{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         both = both.select("a", "b", "first_a", "first_b", token_hashes(F.col("line_a")).alias("own_a"), token_hashes(F.col("line_b")).alias("own_b"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from marginalia.llm import lines
 
 
@@ -20,3 +22,13 @@ def test_columns_of_any_name_come_back(spark):
     assert lines.without_later_lines(docs).columns == docs.columns
     assert [got[k]["text"] for k in (7, 8, 9)] == [f"{line}\nshort", "", "été LÀ"]
     assert [got[k]["levels"] for k in (7, 8, 9)] == [5, 6, None]
+
+
+def test_sketch_is_no_column(spark):
+    """The sketch of a megabyte stays an argument: no select and no aggregate has it as a column, which each row would get a copy of."""
+    rows = spark.createDataFrame([(k % 50, f"a b{k % 50} c c d{k % 7}") for k in range(200)], "k long, line string")
+    levels = lines.rarity_levels(rows.select(F.col("line").alias("text")))
+    sets = lines.by_rarity(rows.groupBy("k").agg(F.any_value("line").alias("line")), "line", levels, "ids").withColumn("own", lines.own_hashes(F.col("ids")))
+    got = sets.select("k", F.size("ids").alias("n"), lines.signatures(F.col("own")).alias("signs"), (F.col("own") == lines.token_hashes(F.col("line"))).alias("same"), lines.parity(F.col("ids"), 6).alias("even"))
+    assert "AS levels" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["n"], r["same"]) for r in got.collect()} == {(4, True)} and got.count() == 50
