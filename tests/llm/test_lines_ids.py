@@ -32,3 +32,32 @@ def test_sketch_is_no_column(spark):
     got = sets.select("k", F.size("ids").alias("n"), lines.signatures(F.col("own")).alias("signs"), (F.col("own") == lines.token_hashes(F.col("line"))).alias("same"), lines.parity(F.col("ids"), 6).alias("even"))
     assert "AS levels" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["n"], r["same"]) for r in got.collect()} == {(4, True)} and got.count() == 50
+
+
+def test_equal_sets_and_odd_white_space(spark):
+    rows = [(1, "a\tb  c\x0bd\n \t\r\f"), (2, "d c b a a\r\n\n\t"), (3, "\fA B C D \né x y"), (4, "É X Y\nx y"), (5, None)]
+    got = lines.later_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["line_no"]): r["removed"] for r in got} == {(1, 0): False, (1, 1): False, (2, 0): True, (2, 1): False, (2, 2): False, (3, 0): True, (3, 1): False, (4, 0): True, (4, 1): False}
+
+
+def test_copies_make_no_postings(spark, monkeypatch):
+    """Tokens are counted among classes: those of one line's copies are in one class alone and not posted. The sketch is no column here either."""
+    made = {}
+
+    def bucketed(df, name, *args, **options):
+        made[name] = df._jdf.queryExecution().optimizedPlan().toString(), real(df, name, *args, **options)
+        return made[name][1]
+
+    real = lines.bucketed
+    monkeypatch.setattr(lines, "bucketed", bucketed)
+    docs = spark.createDataFrame([(k, "one\ttwo three  four\nmore " + " ".join(f"t{k % 3}x{i}" for i in range(9))) for k in range(30)], "doc_id long, text string")
+    assert lines.later_lines(docs).where("removed").count() == 29 + 27
+    plan, postings = made["line-postings"]
+    assert "AS levels" not in plan
+    assert postings.count() == 4 and postings.agg(F.sum(F.size("shared"))).first()[0] == 0  # "more", the only shared token, is no rare one
+
+
+def test_lines_split_at_one_sign(spark):
+    """Patterns are dear: tokens are split at a blank, in lines whose white space is blanks alone."""
+    got = spark.createDataFrame([("A\tb\x0bc\r\nD e\f",)], "t string").select(lines._lines(F.col("t")).alias("x")).first()["x"]
+    assert got == ["a b c ", "d e "]
